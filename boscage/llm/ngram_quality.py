@@ -28,7 +28,7 @@ from .common import bounded_sample, fold, map_batches, mix, one_row, utf8, word_
 BITS = 18
 #: Labelled rows that a model is fitted on, at most.
 TRAIN_ROWS = 6000
-EPOCHS = 3
+EPOCHS = 10
 
 
 def features(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +49,7 @@ class Ftrl:
     weights: np.ndarray
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], bits: int = BITS, epochs: int = EPOCHS, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.2, seed: int = 7) -> Ftrl:
+    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], bits: int = BITS, epochs: int = EPOCHS, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, seed: int = 7) -> Ftrl:
         size = (1 << bits) + 1
         positive = sum(labels)
         prior = float(np.log((positive + 1.0) / (len(labels) - positive + 1.0)))

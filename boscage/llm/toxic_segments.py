@@ -34,7 +34,7 @@ from .common import bounded_sample, fold, map_batches, mix, one_row, utf8, word_
 
 BITS = 18
 #: Pseudo-count of the Dirichlet prior, standard deviations taken off, and the drift.
-PRIOR = 500.0
+PRIOR = 3000.0
 CAUTION = 2.0
 DRIFT = 0.5
 STEM = 4
@@ -49,9 +49,11 @@ def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places (word, stem) of each token, a row each, and its start and end byte."""
     data = utf8(text).lower()
     h, s, e = word_hashes(data, alnum=True)
+    if not len(h):
+        return np.zeros((0, 2), np.int64), s, e
     a, stem = np.frombuffer(data, np.uint8), np.full(len(h), 0x5851F42D4C957F2D, np.uint64)
     for j in range(STEM):
-        byte = np.where(s + j < e, a[np.minimum(s + j, len(a) - 1)], 0) if len(h) else a
+        byte = np.where(s + j < e, a[np.minimum(s + j, len(a) - 1)], 0)
         stem = stem * np.uint64(0x100000001B3) + byte.astype(np.uint64)
     return (np.stack([h, mix(stem)], 1) >> np.uint64(64 - BITS)).astype(np.int64), s, e
 
