@@ -1,0 +1 @@
+"""Tree-stem point-cloud analytics as Spark plans."""
