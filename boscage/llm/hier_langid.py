@@ -84,10 +84,10 @@ def features(text: str) -> np.ndarray:
     return (v / n if n else v).astype(np.float32)
 
 
-def svm(rows: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
-    """Weights and bias (last) of a linear machine; y is -1 or 1, both present."""
+def svm(x: np.ndarray, at: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
+    """Weights and bias (last) of a linear machine over the rows ``at`` of ``x``, whose last
+    column is 1; y is -1 or 1, both present."""
     rng = np.random.default_rng(seed)
-    x = np.hstack([rows, np.ones((len(rows), 1), np.float32)])
     w, mean, t = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0
     share = {s: 0.5 * len(y) / max(1, (y == s).sum()) for s in (-1, 1)}
     steps = EPOCHS * len(y)
@@ -96,8 +96,9 @@ def svm(rows: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
             t += 1
             eta = 1.0 / (LAMBDA * (t + 1000))
             w *= 1 - eta * LAMBDA
-            if y[k] * (w @ x[k]) < 1:
-                w += eta * share[int(y[k])] * y[k] * x[k]
+            row = x[at[k]]
+            if y[k] * (w @ row) < 1:
+                w += eta * share[int(y[k])] * y[k] * row
             if t > steps // 2:
                 mean += w
     return (mean / max(1, steps - steps // 2)).astype(np.float32)
@@ -138,7 +139,9 @@ class LangModel:
 
     @classmethod
     def fit(cls, texts: list[str], langs: list[str], seed: int = 3) -> LangModel:
-        rows = np.stack([features(t) for t in texts]) if texts else np.zeros((0, 1 << BITS), np.float32)
+        rows = np.ones((len(texts), (1 << BITS) + 1), np.float32)
+        for k, t in enumerate(texts):
+            rows[k, :-1] = features(t)
         lang = np.array(langs, object)
         names = sorted(set(langs))
         members: dict[str, list[str]] = {}
@@ -149,11 +152,11 @@ class LangModel:
         machines = []
         for k, f in enumerate(fams):
             y = np.where(fam == f, 1, -1)
-            machines.append(svm(rows, y, seed + k) if len(fams) > 1 else np.zeros((1 << BITS) + 1, np.float32))
+            machines.append(svm(rows, np.arange(len(y)), y, seed + k) if len(fams) > 1 else np.zeros((1 << BITS) + 1, np.float32))
         pairs = [p for f in fams for p in itertools.combinations(members[f], 2)]
         for k, (a, b) in enumerate(pairs):
-            at = (lang == a) | (lang == b)
-            machines.append(svm(rows[at], np.where(lang[at] == a, 1, -1), seed + 100 + k))
+            at = np.flatnonzero((lang == a) | (lang == b))
+            machines.append(svm(rows, at, np.where(lang[at] == a, 1, -1), seed + 100 + k))
         return cls(fams, members, pairs, np.stack(machines) if machines else np.zeros((0, (1 << BITS) + 1), np.float32))
 
     def to_bytes(self) -> bytes:
