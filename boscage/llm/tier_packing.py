@@ -39,7 +39,7 @@ POOL_IDS = 1 << 21
 #: Ids of one step group.
 STEP_IDS = 1 << 16
 #: Distinct words whose ids a worker remembers; then it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, padding int, step_group long"
 
