@@ -105,47 +105,76 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return leaves.join(given.withColumnRenamed("given", "budget"), list(LEVELS))
 
 
-def _order(epoch: F.Column, seed: int) -> F.Column:
-    return F.xxhash64(F.lit(seed), epoch, F.col("_id"))
+def _order(epoch: F.Column, seed: int, ident: F.Column) -> F.Column:
+    return F.xxhash64(F.lit(seed), epoch, ident)
 
 
-def plan(docs: DataFrame, mix: Mix = PRODUCTION, id_column: str = "doc_id") -> DataFrame:
-    """One row per document: its leaf, tokens, and how many ``copies`` the mix takes."""
-    base = docs.select(F.col(id_column).cast("long").alias("_id"), domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("?")).alias("lang"), F.coalesce("source", F.lit("?")).alias("source"), tokens().alias("tokens"))
-    base = written(base, "mix-tokens")
-    return chosen(base, mix).withColumnRenamed("_id", id_column)
+def _leaf_of(docs: DataFrame) -> list[F.Column]:
+    return [domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("?")).alias("lang"), F.coalesce("source", F.lit("?")).alias("source")]
+
+
+#: Leaves that may be broadcast; with more of them, documents meet their leaf by a shuffle.
+BROADCAST_LEAVES = 20_000
+
 
+def _with_leaf(rows: DataFrame, leaves: DataFrame) -> DataFrame:
+    small = leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
+    return rows.join(F.broadcast(leaves) if small else leaves, list(LEVELS))
 
-def chosen(base: DataFrame, mix: Mix) -> DataFrame:
+
+def leaf_cuts(base: DataFrame, mix: Mix) -> DataFrame:
+    """Per leaf its budget, whole epochs, and where the prefix of the next epoch ends.
+
+    Hash ranges below ``cut`` are inside; of the range ``cut`` itself the hashes up to ``last``
+    (as unsigned numbers). A null ``cut`` takes the whole epoch if ``rest`` is positive.
+    """
     keys = list(LEVELS)
-    leaves = base.groupBy(*keys).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
-    # full epochs, then what is left for a prefix of the next; a leaf at its cap has no prefix
+    leaves = base.groupBy(*keys).agg(F.sum("tokens").alias("tokens"))
     plan = budgets(leaves, mix).select(*keys, "budget", F.col("tokens").alias("leaf_tokens"))
     plan = plan.withColumn("epochs", F.when(F.col("leaf_tokens") > 0, F.least(F.floor(F.col("budget") / F.col("leaf_tokens") + 1e-9), F.lit(mix.max_epochs))).otherwise(0).cast("int"))
     plan = written(plan.withColumn("rest", F.greatest(F.lit(0.0), F.col("budget") - F.col("epochs") * F.col("leaf_tokens"))), "mix-plan")
-    rows = base.join(plan, keys).withColumn("_h", _order(F.col("epochs"), mix.seed)).withColumn("_b", F.shiftrightunsigned("_h", 54).cast("int"))
-    sums = rows.groupBy(*keys, "_b").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
+    rows = _with_leaf(base, plan.select(*keys, "epochs", "rest")).withColumn("_h", _order(F.col("epochs"), mix.seed, F.col("_id"))).withColumn("_b", _range(F.col("_h")))
+    sums = rows.groupBy(*keys, "_b").agg(F.sum("tokens").alias("n"), F.min("rest").alias("rest"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows at most
-    cuts = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    cuts = cuts.filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest"))).groupBy(*keys).agg(F.min("_b").alias("cut"), F.min_by("before", "_b").alias("before"))
-    marked = rows.join(cuts, keys, "left")
-    # no range holds the cut: the rest takes the whole epoch
-    whole = F.coalesce(F.col("_b") < F.col("cut"), F.lit(True))
-    edge = marked.filter(F.col("_b") == F.col("cut"))
+    found = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    found = found.filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("n") > F.col("rest"))).groupBy(*keys).agg(F.min("_b").alias("cut"), F.min_by("before", "_b").alias("before"))
+    found = written(found, "mix-cuts")
+    edge = _with_leaf(rows, found).filter(F.col("_b") == F.col("cut"))
     running = Window.partitionBy(*keys, "_b").orderBy("_h").rangeBetween(Window.unboundedPreceding, 0)
-    inside = edge.withColumn("_take", F.col("before") + F.sum("tokens").over(running) <= F.col("rest"))
-    out = marked.filter(F.coalesce(F.col("_b") != F.col("cut"), F.lit(True))).withColumn("_take", whole & (F.col("rest") > 0)).unionByName(inside)
-    return out.select("_id", *keys, "tokens", (F.col("epochs") + F.col("_take").cast("int")).alias("copies"), "budget")
+    inside = edge.withColumn("_fits", F.col("before") + F.sum("tokens").over(running) <= F.col("rest")).filter("_fits")
+    last = inside.groupBy(*keys).agg(F.max("_h").alias("last"))  # one range has one sign, so signed order is right
+    return written(plan.join(found.select(*keys, "cut"), keys, "left").join(last, keys, "left").select(*keys, "budget", "epochs", "rest", "cut", "last"), "mix-leaves")
+
+
+def _range(h: F.Column) -> F.Column:
+    return F.shiftrightunsigned(h, 54).cast("int")
+
+
+def _copies(mix: Mix, ident: F.Column) -> F.Column:
+    h = _order(F.col("epochs"), mix.seed, ident)
+    inside = F.when(F.col("cut").isNull(), F.col("rest") > 0).otherwise((_range(h) < F.col("cut")) | ((_range(h) == F.col("cut")) & F.coalesce(h <= F.col("last"), F.lit(False))))
+    return F.col("epochs") + inside.cast("int")
+
+
+def plan(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
+    """One row per document: its leaf, tokens, and how many ``copies`` the mix takes."""
+    base = written(docs.select(F.col("doc_id").cast("long").alias("_id"), *_leaf_of(docs), tokens().alias("tokens")), "mix-tokens")
+    marked = _with_leaf(base, leaf_cuts(base, mix))
+    return marked.select(F.col("_id").alias("doc_id"), *LEVELS, "tokens", _copies(mix, F.col("_id")).alias("copies"), "budget")
 
 
 def select(docs: DataFrame, mix: Mix = ONE_EPOCH) -> DataFrame:
-    """The documents' own columns, each row as often as the mix takes it."""
-    p = written(plan(docs, mix).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")), "mix-copies")
-    ids = p.select(F.col("doc_id").alias("_mixed"), "_copies")
-    got = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_mixed")))
+    """The documents' own columns, each row as often as the mix takes it.
+
+    A row's leaf and hash tell whether it is taken, so texts don't move.
+    """
+    base = written(docs.select(F.col("doc_id").cast("long").alias("_id"), *_leaf_of(docs), tokens().alias("tokens")), "mix-tokens")
+    leaves = leaf_cuts(base, mix)
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), *_leaf_of(docs))
+    got = _with_leaf(rows, leaves).withColumn("_copies", _copies(mix, F.col("_id"))).filter("_copies > 0")
     if mix.max_epochs > 1:
         got = got.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return got.select(*[docs[c] for c in docs.columns])
+    return got.select("_row.*")
 
 
 def prefix_tokens(rows: Iterator[tuple[int, int]], rest: float) -> list[int]:
