@@ -317,7 +317,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     keep = written(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "simhash-keep")
     ids = keep.select(F.col("doc_id").alias("_keep"))
-    kept = docs.join(ids, docs["doc_id"] == F.col("_keep"), "left_semi")
+    # ids grow with the documents, so they are never broadcast: the plan is one at every size
+    kept = docs.join(ids.hint("merge"), docs["doc_id"] == F.col("_keep"), "left_semi")
     if keep.filter("n > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
