@@ -38,7 +38,8 @@ END_ID = 1
 POOL_IDS = 1 << 21
 #: Ids of one step group.
 STEP_IDS = 1 << 16
-#: Distinct words whose ids a worker remembers; then it starts anew.
+#: Distinct words whose ids a worker remembers in each of two generations: a full one becomes the
+#: older, and words met again move back to the younger.
 REMEMBERED = 250_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, padding int, step_group long"
@@ -64,6 +65,7 @@ class Encoder:
         steps = pre.get("pretokenizers", [])
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and norm["normalizers"][1]["pattern"] == {"Regex": "\\s+"} and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["invert"] and steps[0]["behavior"] == "Removed" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"] and "\\s" in steps[0]["pattern"]["Regex"]
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         if self.by_word:
             self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
@@ -80,8 +82,11 @@ class Encoder:
 
     def _word(self, word: bytes) -> bytes:
         if len(self.words) >= REMEMBERED:
-            self.words.clear()
+            self.older, self.words = self.words, {}
             self.parts.clear()
+        if word in self.older:
+            ids = self.words[word] = self.older[word]
+            return ids
         text = word.decode("utf-8", "replace")
         if max(map(ord, text)) < 0x250:  # Latin: lower case and NFC agree with the library's
             ids = b"".join(map(self._part, self.pattern.findall(unicodedata.normalize("NFC", text).lower())))
@@ -96,10 +101,9 @@ class Encoder:
         if not self.by_word:
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = text.encode("utf-8", "replace").split()
-        known, get = self.words, self.words.get
-        got = list(map(get, words))
+        got = list(map(self.words.get, words))
         if None in got:
-            got = [g if g is not None else known[w] if w in known else self._word(w) for g, w in zip(got, words, strict=True)]
+            got = [g if g is not None else self.words[w] if w in self.words else self._word(w) for g, w in zip(got, words, strict=True)]
         return b"".join(got)
 
 
