@@ -201,7 +201,9 @@ def measurements(found: DataFrame, targets: DataFrame, cfg: RunConfig | None = N
 
     odd = anomalous_heights(heights, ["tree_id", "geometry", "model"]).groupBy("tree_id", "geometry", F.col("model").alias("recommended")).agg(F.count("*").alias("anomalous"))
     e = tree.join(prof.select("tree_id", "geometry", "recommended", "n_heights", "cross_std_m", "median", "interpolated", "taper"), ["tree_id", "geometry", "recommended"], "left").join(odd, ["tree_id", "geometry", "recommended"], "left")
-    e = targets.select("tree_id", "ground_z", F.coalesce(F.col("ground_quality") if "ground_quality" in targets.columns else F.lit("GOOD"), F.lit("GOOD")).alias("ground_quality")).join(e, "tree_id", "left")
+    known = lambda c, other: F.coalesce(F.col(c), other).alias(c) if c in targets.columns else other.alias(c)
+    none = F.lit(None).cast("double")
+    e = targets.select("tree_id", "ground_z", known("ground_quality", F.lit("GOOD")), known("ground_slope_deg", none), known("ground_roughness_m", none)).join(e, "tree_id", "left")
     e = e.withColumn("models", F.coalesce("models", F.array().cast("array<string>"))).withColumn("n_points", F.coalesce("n_points", F.lit(0))).withColumn("anomaly", F.coalesce("anomaly", F.lit("NO_ROBUST_FIT"))).withColumn("ellipticity", F.coalesce("ellipticity", F.lit("NO_ELLIPSE_FIT"))).withColumn("height_problem", F.abs("taper") > d.buttress_taper_threshold_per_m)
     v = verdict(e, cfg)
     chosen = main.select("tree_id", "geometry", F.col("model").alias("selected_model"), F.col("diameter_m").alias("single"), F.col("rmse_m").alias("sel_rmse"), "inlier_fraction", F.col("bootstrap_std_m").alias("sel_bootstrap"))
@@ -219,7 +221,7 @@ def export(m: DataFrame, cfg: RunConfig | None = None) -> DataFrame:
     text = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), ";")
     return m.select(
         "tree_id", "x", "y", cm(F.col("dbh_m")).alias("dbh_cm"), "status", "confidence_band", "review_state", "selected_model", "selection_is_recommendation", "dbh_source",
-        F.col("geometry").alias("primary_geometry"), F.lit(cfg.slice.target_height_m).alias("measurement_height_m"), F.col("ground_z").alias("ground_z_m"), "ground_quality",
+        F.col("geometry").alias("primary_geometry"), F.lit(cfg.slice.target_height_m).alias("measurement_height_m"), F.col("ground_z").alias("ground_z_m"), "ground_quality", "ground_slope_deg", cm(F.col("ground_roughness_m")).alias("ground_roughness_cm"),
         F.col("tilt_deg").alias("stem_tilt_deg"), F.col("azimuth_deg").alias("stem_azimuth_deg"), F.col("best_coverage").alias("coverage_fraction"), F.col("least_gap").alias("largest_gap_deg"),
         cm(F.col("sel_rmse")).alias("rmse_cm"), "inlier_fraction", cm(F.col("sel_bootstrap")).alias("bootstrap_std_cm"), cm(F.col("cross_std_m")).alias("cross_height_std_cm"), cm(F.col("disagreement_m")).alias("model_disagreement_cm"),
         F.col("ellipticity").alias("ellipticity_verdict"), F.col("ratio").alias("axis_ratio"), F.col("anomaly").alias("radial_anomaly_verdict"), "outlier_fraction", cm(F.col("cleaning_shift_m")).alias("outline_cleaning_shift_cm"),
