@@ -6,11 +6,15 @@ indices, so a landscape of any size stays distributed; a grid is small beside it
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stem import huber_plane
+
 
 @dataclass(frozen=True)
 class Grid:
@@ -24,8 +28,6 @@ class Grid:
 
     @classmethod
     def over(cls, xmin: float, xmax: float, ymin: float, ymax: float, cell: float) -> Grid:
-        import math
-
         return cls(xmin, ymin, cell, max(1, math.ceil((xmax - xmin) / cell) + 1), max(1, math.ceil((ymax - ymin) / cell) + 1))
 
 
@@ -129,3 +131,46 @@ def local_plane(targets: DataFrame, cells: DataFrame, g: Grid, radius: float) ->
     det = F.col("aa") * F.col("bb") - F.col("ab") ** 2
     s = s.filter((F.col("n_cells") >= 4) & (det > 0)).withColumn("p", (F.col("az") * F.col("bb") - F.col("bz") * F.col("ab")) / det).withColumn("q", (F.col("bz") * F.col("aa") - F.col("az") * F.col("ab")) / det)
     return s.select("t", "n_cells", (F.col("mz") - F.col("p") * F.col("ma") - F.col("q") * F.col("mb")).alias("z"), F.degrees(F.atan(F.sqrt(F.col("p") ** 2 + F.col("q") ** 2))).alias("slope_deg"), F.pmod(F.degrees(F.atan2(-F.col("p"), -F.col("q"))), F.lit(360.0)).alias("aspect_deg"))
+
+
+_PLANE = "tree_id string, n_cells int, observed_fraction double, plane_z double, slope_deg double, aspect_deg double, roughness_m double"
+
+
+def local_ground(targets: DataFrame, cells: DataFrame, g: Grid, cfg) -> DataFrame:
+    """The ground a stem stands on: height, slope, aspect, roughness, and how far to trust them.
+
+    ``targets``: tree_id, cx, cy; ``cfg``: the Ground settings. Each target asks for the square of
+    cells around it by an equi-join, so a group holds that many cells at most; a Huber plane is
+    fitted to those within the radius. Targets with under three cells take the bilinear height and
+    quality POOR; targets off the grid get a null height.
+    """
+    radius = cfg.local_plane_radius_m
+    rad = max(1, math.ceil(radius / g.cell))
+    span = lambda c, low, n: (F.greatest(F.lit(0), ((F.col(c) - low) / g.cell - 0.5).cast("int") - rad), F.least(F.lit(n - 1), ((F.col(c) - low) / g.cell - 0.5).cast("int") + rad))
+    (i0, i1), (j0, j1) = span("cx", g.x0, g.nx), span("cy", g.y0, g.ny)
+    ask = targets.select("tree_id", "cx", "cy").filter((i0 <= i1) & (j0 <= j1))
+    ask = ask.withColumn("ix", F.explode(F.sequence(i0, i1))).withColumn("iy", F.explode(F.sequence(j0, j1)))
+    near = ask.join(cells.select("ix", "iy", "z", "observed"), ["ix", "iy"])
+    near = near.select("tree_id", (g.x0 + (F.col("ix") + 0.5) * g.cell - F.col("cx")).alias("a"), (g.y0 + (F.col("iy") + 0.5) * g.cell - F.col("cy")).alias("b"), "z", "observed")
+
+    def plane(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[(pdf.a**2 + pdf.b**2 <= radius**2) & pdf.z.notna()].sort_values(["a", "b"])
+        row = {"tree_id": pdf.tree_id.iloc[0], "n_cells": len(own), "observed_fraction": float(pdf.observed.mean()), "plane_z": None, "slope_deg": None, "aspect_deg": None, "roughness_m": None}
+        if len(own) >= 3:
+            (p, q, z), res = huber_plane(own[["a", "b", "z"]].to_numpy(float))
+            off = pd.Series(res)
+            spread = 1.4826 * float((off - off.median()).abs().median())
+            row |= {"plane_z": float(z), "slope_deg": math.degrees(math.atan(math.hypot(p, q))), "aspect_deg": math.degrees(math.atan2(-p, -q)) % 360.0, "roughness_m": spread}
+        return pd.DataFrame([row])
+
+    fitted = near.groupBy("tree_id").applyInPandas(plane, _PLANE)
+    at = elevation(targets.withColumn("x", F.col("cx")).withColumn("y", F.col("cy")), cells, g, "_raster").drop("x", "y")
+    t = at.join(fitted, "tree_id", "left").withColumn("n_cells", F.coalesce("n_cells", F.lit(0))).withColumn("observed_fraction", F.coalesce("observed_fraction", F.lit(0.0)))
+    steep, rough = F.col("slope_deg") > cfg.max_local_slope_deg, F.col("roughness_m") > cfg.max_ground_roughness_m
+    few = F.col("n_cells") < 3
+    tests = {"few_ground_cells": F.col("n_cells") < cfg.local_plane_min_points, "slope_above_limit": steep, "roughness_above_limit": rough, "few_cells_observed": F.col("observed_fraction") < 0.5}
+    why = F.when(few, F.array(F.lit("too_few_ground_cells"))).otherwise(F.array_compact(F.array(*[F.when(b, F.lit(n)) for n, b in tests.items()])))
+    fair = (F.col("roughness_m") <= 1.5 * cfg.max_ground_roughness_m) & (F.col("observed_fraction") >= 0.3) & ~steep
+    t = t.withColumn("ground_warnings", why)
+    quality = F.when(few, "POOR").when(F.size("ground_warnings") == 0, "GOOD").when(fair, "FAIR").otherwise("POOR")
+    return t.withColumn("ground_quality", quality).withColumn("ground_z", F.coalesce("plane_z", "_raster")).withColumnsRenamed({"slope_deg": "ground_slope_deg", "aspect_deg": "ground_aspect_deg", "roughness_m": "ground_roughness_m"}).drop("plane_z", "_raster")

@@ -15,7 +15,7 @@ from ..config import PROVISIONAL, RunConfig
 from ..functions import fits, stem
 from ..functions.columns import cm
 from ..session import checkpointed
-from .sections import crop_many, profile
+from .sections import crop_many, horizontal_sections, profile
 
 FITS = "tree_id string, geometry string, height_m double, model string, definition string, diameter_m double, cx double, cy double, rmse_m double, median_abs_residual_m double, max_abs_residual_m double, point_count int, inlier_count int, inlier_fraction double, angular_coverage double, largest_gap_deg double, n_arcs int, bootstrap_std_m double, valid boolean, warnings array<string>, major_m double, minor_m double, rotation_deg double, area_m2 double, perimeter_m double, hull_perimeter_m double, convexity_deficit double, roughness_m double, sector_radius array<double>, sector_occupied array<boolean>, seed_x double, seed_y double, tilt_deg double, azimuth_deg double, axis_valid boolean, tree_warnings array<string>, section_points int, outlier_fraction double, outside double, spread_cover double, excess double, lobes int, above double, thick double"
 
@@ -236,19 +236,34 @@ def measure(points: DataFrame, targets: DataFrame, cfg: RunConfig | None = None,
     return measurements(found, targets, cfg)
 
 
-def candidates(points: DataFrame, cell: float = 0.05, least: int = 150, band: tuple[float, float] = (1.2, 1.4)) -> DataFrame:
+#: Clusters that the continuity probe looks at, largest first.
+PROBED = 500
+
+
+def candidates(points: DataFrame, cell: float = 0.05, least: int = 150, band: tuple[float, float] = (1.2, 1.4), heights: tuple[float, ...] = (0.6, 1.0, 1.8, 2.6), reach: float = 0.5, share: float = 0.75) -> DataFrame:
     """Stem candidates: 8-connected clusters of occupied raster cells in a height band.
 
     Labels spread by smallest cell along cell adjacency with pointer jumping until they rest;
-    clusters are then measured and gated, reasons kept for those refused.
+    clusters are then measured and gated, reasons kept for those refused. The PROBED largest that
+    pass must go on above and below: enough points within ``reach`` at ``share`` of ``heights``.
+    Clusters beyond them are not accepted and carry no reason.
     """
+    half = (band[1] - band[0]) / 2
     p = points.filter(F.col("h").between(*band)).withColumn("ix", F.floor(F.col("x") / cell)).withColumn("iy", F.floor(F.col("y") / cell))
     occ = p.groupBy("ix", "iy").agg(F.count("*").alias("n")).select("ix", "iy")
     labels = label_cells(occ)
     c = p.join(labels, ["ix", "iy"]).groupBy("label").agg(F.count("*").alias("n_points"), F.median("x").alias("cx"), F.median("y").alias("cy"), (F.max("x") - F.min("x")).alias("ex"), (F.max("y") - F.min("y")).alias("ey"))
     wide, thin = F.greatest("ex", "ey"), F.least("ex", "ey")
     why = F.array_compact(F.array(F.when(F.col("n_points") < least, "too_few_points"), F.when((wide < 0.08) | (wide > 2.0), "implausible_extent"), F.when(wide > 3.0 * F.greatest(thin, F.lit(1e-6)), "elongated")))
-    return c.withColumn("reasons", why).withColumn("accepted", F.size("reasons") == 0).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("accepted"), F.desc("n_points"), "label")))
+    c = checkpointed(c.withColumn("reasons", why))
+    probed = c.filter(F.size("reasons") == 0).orderBy(F.desc("n_points"), "label").limit(PROBED).select("label", "cx", "cy")
+    near = crop_many(points.select("x", "y", "h"), probed, reach * 2**0.5).filter((F.abs(F.col("x") - F.col("cx")) <= reach) & (F.abs(F.col("y") - F.col("cy")) <= reach))
+    hits = horizontal_sections(near, list(heights), 2 * half).groupBy("label", "height_m").agg(F.count("*").alias("n")).filter(F.col("n") >= max(20, least // 8))
+    found = probed.select("label").join(hits.groupBy("label").agg(F.count("*").alias("hits")), "label", "left").select("label", (F.coalesce("hits", F.lit(0)) / len(heights)).alias("_share"))
+    c = c.join(found, "label", "left")
+    broken = F.coalesce(F.col("_share") < share, F.lit(False))
+    c = c.withColumn("reasons", F.when(broken, F.array_append("reasons", F.lit("not_continuous"))).otherwise(F.col("reasons"))).withColumn("accepted", F.col("_share").isNotNull() & ~broken).withColumn("continuity", F.coalesce("_share", F.lit(0.0))).drop("_share")
+    return c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("accepted"), F.desc("n_points"), "label")))
 
 
 def label_cells(occ: DataFrame) -> DataFrame:

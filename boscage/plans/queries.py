@@ -11,6 +11,7 @@ from ..config import RunConfig
 from ..functions.columns import area_diameter, perimeter_diameter, safe_id
 from ..operators import ground as gr
 from ..operators import measure as me
+from ..operators import plots as pl
 from ..operators import review as rv
 from ..operators import sections as se
 from . import scene
@@ -537,6 +538,19 @@ def cluster_cells(spark, sf):
     return lab.agg(F.count("*").alias("clusters"), F.sum("n").alias("cells"), F.max("n").alias("largest"))
 
 
+# ---- tables for figures ------------------------------------------------------------------------------
+
+
+@query(", n AS (SELECT t, least(CAST(floor(((degrees(atan2(v, u)) + 360) % 360) * 72 / 360) AS INTEGER), 71) AS bin, count(*) AS n FROM slab GROUP BY ALL) SELECT t, bin, coalesce(n.n, 0) AS n FROM (SELECT t, CAST(b AS INTEGER) AS bin FROM target, range(72) x(b)) LEFT JOIN n USING (t, bin)")
+def section_rose(spark, sf):
+    return pl.rose(_slab(spark, sf), _centres(spark, sf), ["t"])
+
+
+@query("SELECT t, CAST(floor(h / 0.1::DOUBLE) AS INTEGER) AS bin, count(*) AS n, round(avg(sqrt(u * u + v * v)), 6) AS mean_radius FROM stem GROUP BY ALL")
+def height_histogram(spark, sf):
+    return rounded(pl.height_histogram(scene.stems(spark, sf), ["t"]))
+
+
 # ---- iterative numerics: no SQL states them ----------------------------------------------------------
 
 
@@ -568,7 +582,18 @@ def bootstrap_std(spark, sf):
 
 @query()
 def candidates(spark, sf):
-    return me.candidates(scene.stems(spark, sf), cell=0.1, least=100)
+    # the scene's returns lie from 0.8 to 2.2 m
+    return me.candidates(scene.stems(spark, sf), cell=0.1, least=100, heights=(0.9, 1.1, 1.7, 2.1))
+
+
+@query()
+def ground_verdict(spark, sf):
+    return rounded(gr.local_ground(scene.targets(spark, sf).select("tree_id", "cx", "cy"), _surface(spark, sf), GRID, RunConfig().ground))
+
+
+@query()
+def model_boundaries(spark, sf):
+    return rounded(pl.boundaries(_fits(spark, sf)))
 
 
 @query()
