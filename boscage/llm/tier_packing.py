@@ -18,10 +18,11 @@ from __future__ import annotations
 
 import functools
 import json
+import struct
 import unicodedata
 import zlib
 from bisect import bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +39,44 @@ END_ID = 1
 POOL_IDS = 1 << 21
 #: Ids of one step group.
 STEP_IDS = 1 << 16
-#: Distinct words whose ids a worker remembers in each of two generations: a full one becomes the
-#: older, and words met again move back to the younger.
+#: Distinct words, and parts of words, whose ids a worker remembers in each of two generations.
 REMEMBERED = 250_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, padding int, step_group long"
 
 
+class Remembered(dict):
+    """What ``make`` returns by key, in two generations: ``room`` keys become the older one, and
+    keys met again move back to the younger."""
+
+    def __init__(self, make: Callable, room: int = REMEMBERED) -> None:
+        super().__init__()
+        self.make, self.room, self.older = make, room, {}
+
+    def __missing__(self, key):
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        if len(self) >= self.room:
+            self.older = dict(self)
+            self.clear()
+        self[key] = got
+        return got
+
+
+def byte_level() -> dict[int, int]:
+    """Byte-level characters of bytes: visible Latin-1 ones stand for themselves, the others for
+    the code points from 256 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: 0x100 + k for k, b in enumerate(sorted(set(range(256)) - set(seen)))}
+
+
 class Encoder:
     """ids of whole texts as little-endian unsigned 32-bit bytes.
 
     Where the tokenizer splits at white space before its merges (normaliser NFC, one blank for
-    white space, lower case; a pattern; byte level), words are encoded one by one and remembered.
+    white space, lower case; a pattern; byte level), words are encoded one by one and remembered,
+    and so are the pattern's parts of words (a word of one part shares its bytes).
     Any other tokenizer file encodes the whole text.
     """
 
@@ -64,47 +91,36 @@ class Encoder:
         kinds = [x["type"] for x in norm.get("normalizers", [])]
         steps = pre.get("pretokenizers", [])
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and norm["normalizers"][1]["pattern"] == {"Regex": "\\s+"} and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["invert"] and steps[0]["behavior"] == "Removed" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"] and "\\s" in steps[0]["pattern"]["Regex"]
-        self.words: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.parts = Remembered(self._word), Remembered(self._part)
         if self.by_word:
             self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
-            from tokenizers import pre_tokenizers
+            self.level = byte_level()
 
-            self.level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            mapped = part if part.isascii() else "".join(p for p, _ in self.level.pre_tokenize_str(part))
-            got = self.parts[part] = np.array([t.id for t in self.tok.model.tokenize(mapped)], "<u4").tobytes()
-        return got
+        mapped = part if part.isascii() and part.isprintable() else part.encode("utf-8").decode("latin-1").translate(self.level)
+        ids = [t.id for t in self.tok.model.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: bytes) -> bytes:
-        if len(self.words) >= REMEMBERED:
-            self.older, self.words = self.words, {}
-            self.parts.clear()
-        if word in self.older:
-            ids = self.words[word] = self.older[word]
-            return ids
         text = word.decode("utf-8", "replace")
-        if max(map(ord, text)) < 0x250:  # Latin: lower case and NFC agree with the library's
-            ids = b"".join(map(self._part, self.pattern.findall(unicodedata.normalize("NFC", text).lower())))
+        if text.isascii():
+            text = text.lower()
+        elif max(text) < "\u0250":  # Latin: lower case and NFC agree with the library's
+            text = unicodedata.normalize("NFC", text).lower()
         else:
-            ids = np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self.words[word] = ids
-        return ids
+            return self._whole(text)
+        parts = self.pattern.findall(text)
+        return self.parts[parts[0]] if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if not self.by_word:
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.encode("utf-8", "replace").split()
-        got = list(map(self.words.get, words))
-        if None in got:
-            got = [g if g is not None else self.words[w] if w in self.words else self._word(w) for g, w in zip(got, words, strict=True)]
-        return b"".join(got)
+            return self._whole(text)
+        return b"".join(map(self.words.__getitem__, text.encode("utf-8", "replace").split()))
 
 
 @functools.lru_cache(maxsize=4)
