@@ -2,7 +2,8 @@
 
 Vectors become floor(SCALE * x). A bounded sample of rows serves as anchors; the first of them are
 the pivots. Every data row belongs to its nearest pivot's cell and knows its distance to it;
-queries are grouped the same way, a large cell's queries into several groups. A query's k-th best
+queries are grouped the same way: cells that follow one another on a chain of nearest pivots share a
+group up to a bound, and a large cell's queries make several groups. A query's k-th best
 score over the anchors is a lower bound of its k-th best score overall. From each group's summary
 - for pivot j the largest ``q.p_j - bound_q`` and the largest |q| over its queries q - follows
 which distances from p_j can matter, since ``q.x <= q.p_j + |q| |x - p_j|``. Only data rows
@@ -114,6 +115,29 @@ class Pivots:
         return -np.partition(-s, k - 1, axis=1)[:, k - 1]
 
 
+def group_cells(sizes: dict[int, int], p: np.ndarray, room: int = GROUP) -> list[tuple[int, int, int]]:
+    """(cell, first group, number of groups) of each cell with queries.
+
+    Every group is sent all data it may need, so groups are as few as ``room`` queries each allow:
+    the chain goes from each cell to the nearest one left, and a group ends where it is full.
+    """
+    out, left, at = [], sorted(sizes), 0
+    group, held = 0, 0
+    while left:
+        cell = left.pop(at)
+        n = sizes[cell]
+        if held and held + n > room:
+            group, held = group + 1, 0
+        parts = -(-n // room)
+        out.append((cell, group, parts))
+        held += n
+        if parts > 1:
+            group, held = group + parts, 0
+        if left:
+            at = int(((p[left] - p[cell]) ** 2).sum(1).argmin())
+    return out
+
+
 def search(table: DataFrame, k: int = K, query_step: int = QUERY_STEP, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id, score."""
     spark = table.sparkSession
@@ -140,8 +164,9 @@ def search(table: DataFrame, k: int = K, query_step: int = QUERY_STEP, scale: in
     cells = data.mapInArrow(assign, "vec_id long, v binary, cell int, dist double")
     queries = cells.filter(F.col("vec_id") % query_step == 0).groupBy("vec_id").agg(F.min(F.struct("v", "cell")).alias("q"))
     queries = written(queries.select("vec_id", "q.v", "q.cell"), "knn-queries")
-    sizes = queries.groupBy("cell").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))  # at most MAX_PIVOTS rows
-    grouped = queries.join(F.broadcast(sizes), "cell").withColumn("group", F.col("cell").cast("long") * (1 << 32) + F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+    sizes = {r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most MAX_PIVOTS rows
+    groups = spark.createDataFrame(group_cells(sizes, pivots.p), "cell int, first long, parts long")
+    grouped = queries.join(F.broadcast(groups), "cell").withColumn("group", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")))
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per group and pivot the largest q.p - bound, and the largest |q|: partial per batch."""

@@ -316,3 +316,21 @@ def test_archive_round_trip(spark, tmp_path):
             data = data[n + 4 :]
     assert len(seen) == len(rows) and sum(len(b) for _, b in seen) == sum(len(bytes(r.payload)) for r in out.itertuples() if r.record_type == "response")
     assert warc_cas.archive(d.limit(0)).count() == 0
+
+
+def test_cells_share_groups_up_to_a_bound():
+    p = np.array([[0.0, 0], [10, 0], [1, 0], [11, 0], [0, 2]])
+    got = {c: (first, parts) for c, first, parts in voronoi_knn.group_cells({0: 3, 1: 25, 2: 4, 3: 2, 4: 3}, p, 10)}
+    assert got[1][1] == 3 and sorted(got) == [0, 1, 2, 3, 4]
+    assert got[0] == got[2] == got[4]
+    own = set(range(got[1][0], got[1][0] + 3))
+    assert not own & {got[c][0] for c in (0, 2, 3, 4)}
+    assert voronoi_knn.group_cells({}, p) == []
+
+
+def test_encoder_agrees_with_the_tokenizer_when_its_memory_is_small():
+    e = tier_packing.Encoder(tier_packing.default_tokenizer())
+    e.words.room = e.parts.room = 3
+    odd = ["a\x07b \x00 \x7f x\x1fy", "Ça va\u0085b l'été, l'été", "İstanbul ßẞ don't", "日本 語 \U0001f600", "<|end|> [CLS] </s>", "­ soft­hyphen µ ﬁ", "x y z", "ÅÅ", "one two three four one TWO three, four. " * 5]
+    for t in odd * 2:
+        assert e.encode(t) == np.array(e.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
