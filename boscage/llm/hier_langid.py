@@ -84,11 +84,21 @@ def features(text: str) -> np.ndarray:
     return (v / n if n else v).astype(np.float32)
 
 
-def svm(x: np.ndarray, at: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
-    """Weights and bias (last) of a linear machine over the rows ``at`` of ``x``, whose last
-    column is 1; y is -1 or 1, both present."""
+#: A row of the training matrix: the columns that are not zero, the last of them the bias, and their values.
+Row = tuple[np.ndarray, np.ndarray]
+
+
+def sparse(v: np.ndarray) -> Row:
+    at = np.flatnonzero(v)
+    return np.append(at, len(v)).astype(np.int32), np.append(v[at], 1).astype(np.float32)
+
+
+def svm(rows: list[Row], at: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
+    """Weights and bias (last) of a linear machine over the rows ``at`` of ``rows``; y is -1 or
+    1, both present."""
     rng = np.random.default_rng(seed)
-    w, mean, t = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0
+    width = (1 << BITS) + 1
+    w, mean, t = np.zeros(width), np.zeros(width), 0
     share = {s: 0.5 * len(y) / max(1, (y == s).sum()) for s in (-1, 1)}
     steps = EPOCHS * len(y)
     for _ in range(EPOCHS):
@@ -96,9 +106,9 @@ def svm(x: np.ndarray, at: np.ndarray, y: np.ndarray, seed: int) -> np.ndarray:
             t += 1
             eta = 1.0 / (LAMBDA * (t + 1000))
             w *= 1 - eta * LAMBDA
-            row = x[at[k]]
-            if y[k] * (w @ row) < 1:
-                w += eta * share[int(y[k])] * y[k] * row
+            cols, values = rows[at[k]]
+            if y[k] * (w[cols] @ values) < 1:
+                w[cols] += eta * share[int(y[k])] * y[k] * values
             if t > steps // 2:
                 mean += w
     return (mean / max(1, steps - steps // 2)).astype(np.float32)
@@ -139,9 +149,7 @@ class LangModel:
 
     @classmethod
     def fit(cls, texts: list[str], langs: list[str], seed: int = 3) -> LangModel:
-        rows = np.ones((len(texts), (1 << BITS) + 1), np.float32)
-        for k, t in enumerate(texts):
-            rows[k, :-1] = features(t)
+        rows = [sparse(features(t)) for t in texts]
         lang = np.array(langs, object)
         names = sorted(set(langs))
         members: dict[str, list[str]] = {}
