@@ -94,6 +94,10 @@ class Encoder:
         self.words, self.parts = Remembered(self._word), Remembered(self._part)
         if self.by_word:
             self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
+            kinds = steps[0]["pattern"]["Regex"].split("|")
+            letters = kinds.index("[\\p{L}]+") if "[\\p{L}]+" in kinds else None
+            # runs of letters, and of signs behind them, are parts of their own
+            self.plain = letters is not None and all(k.startswith("'") for k in kinds[:letters]) and kinds[-1] == "[^\\s\\p{L}\\p{N}]+"
             self.level = byte_level()
 
     def _whole(self, text: str) -> bytes:
@@ -112,6 +116,11 @@ class Encoder:
             text = unicodedata.normalize("NFC", text).lower()
         else:
             return self._whole(text)
+        if self.plain:
+            if text.isalpha():
+                return self.parts[text]
+            if text[-1] in ",.;:!?" and text[:-1].isalpha():
+                return self.parts[text[:-1]] + self.parts[text[-1]]
         parts = self.pattern.findall(text)
         return self.parts[parts[0]] if len(parts) == 1 else b"".join(map(self.parts.__getitem__, parts))
 
