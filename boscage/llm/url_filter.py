@@ -5,7 +5,9 @@ their words: host labels (names written together) are cut into words by a unigra
 over a lexicon counted on the pages' own texts, path parts are cut at non-letters, and multinomial
 naive Bayes scores the words. Its classes are learnt from the urls that rules decide, so verdicts
 carry over to urls with like words; counts are summed by Spark into ``2**BITS`` hashed places per
-class, whatever the input's size. The lexicon keeps the LEXICON most frequent words.
+class, whatever the input's size. All words of the texts are counted; the search needs those that
+occur inside a host name's parts, and the total over all counts. Up to HELD such words are given to
+every task; beyond, each name part is cut in Spark with its own words and joined back by host.
 
 Defined cases: a null url or one without ``://`` has empty host and path, no words, and the
 verdict of the class prior; null html adds nothing to the lexicon; without rule-decided urls of
@@ -15,11 +17,12 @@ row; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,15 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches
+from .common import map_batches, written
 
 #: (rule, verdict); a rule is host and the start of the path.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 BITS = 16
-LEXICON = 50_000
 LONGEST = 20
 #: Words of a task that are counted before they are passed on.
 FLUSH = 200_000
+#: Words that occur in host names which every task may hold.
+HELD = 200_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _TAG = re.compile(r"<(?:script|style)\b.*?</(?:script|style)\s*>|<[^>]*>", re.S | re.I)
@@ -101,8 +105,9 @@ class Segmenter:
     last word is longest.
     """
 
-    def __init__(self, counts: dict[str, int]) -> None:
-        total = sum(counts.values()) + 1.0
+    def __init__(self, counts: dict[str, int], total: int | None = None) -> None:
+        """``total`` is that of all counts where ``counts`` leaves out words that no name holds."""
+        total = (sum(counts.values()) if total is None else total) + 1.0
         self.logp = {w: math.log(n / total) for w, n in counts.items()}
         self.unknown = math.log(1.0 / (10.0 * total))
         self.seen: dict[str, tuple[str, ...]] = {}
@@ -129,13 +134,18 @@ class Segmenter:
         return got
 
 
-def words_of(host: str, path: str, cut: Segmenter) -> list[str]:
-    """Words with their place: d:top-level label, h:host words, p:path words; numbers by length."""
+def host_parts(host: str) -> tuple[list[str], list[str]]:
+    """The labels of a host that aren't empty, and the runs of letters or digits in all but the last."""
     labels = [x for x in host.split(".") if x]
+    return labels, [part for label in labels[:-1] for part in _PART.findall(label)]
+
+
+def words_of(host: str, path: str, split: Callable[[str], Iterable[str]]) -> list[str]:
+    """Words with their place: d:top-level label, h:host words, p:path words; numbers by length."""
+    labels, parts = host_parts(host)
     out = [f"d:{labels[-1]}"] if labels else []
-    for label in labels[:-1]:
-        for part in _PART.findall(label):
-            out += [f"h:#{len(part)}"] if part.isdigit() else [f"h:{w}" for w in cut.split(part)]
+    for part in parts:
+        out += [f"h:#{len(part)}"] if part.isdigit() else [f"h:{w}" for w in split(part)]
     out += [f"p:#{len(p)}" if p.isdigit() else f"p:{p}" for p in _PART.findall(path.lower())]
     return out
 
@@ -164,59 +174,124 @@ class Bayes:
         return self.prior + float(sum(self.odds[place(w)] for w in words))
 
 
-def lexicon(pages: DataFrame, size: int = LEXICON) -> dict[str, int]:
-    """The ``size`` most frequent words, ties by name."""
-    return {r["word"]: r["n"] for r in count_words(pages).orderBy(F.desc("n"), "word").limit(size).collect()}
+def names(urls: DataFrame) -> DataFrame:
+    """host, part: the distinct parts of letters of each distinct host."""
+
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
+        for b in batches:
+            rows = [(h, p) for h in b["host"] for p in dict.fromkeys(host_parts(h)[1]) if not p.isdigit()]
+            yield {"host": [h for h, _ in rows], "part": [p for _, p in rows]}
+
+    schema = T.StructType([T.StructField("host", T.StringType()), T.StructField("part", T.StringType())])
+    return map_batches(urls.select("host").distinct(), ["host"], run, schema)
+
+
+def inside(parts: DataFrame) -> DataFrame:
+    """part, word: each distinct piece of a part that can be a word, and the part itself."""
+
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
+        for b in batches:
+            out: dict[str, list] = {"part": [], "word": []}
+            for p in b["part"]:
+                pieces = {p[i : i + n] for n in range(2, LONGEST + 1) for i in range(len(p) - n + 1)} | {p}
+                out["part"] += [p] * len(pieces)
+                out["word"] += pieces
+                if len(out["word"]) > FLUSH:
+                    yield out
+                    out = {"part": [], "word": []}
+            yield out
+
+    schema = T.StructType([T.StructField("part", T.StringType()), T.StructField("word", T.StringType())])
+    return map_batches(parts, ["part"], run, schema)
+
+
+def cut_apart(urls: DataFrame, pieces: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """``urls`` with ``cuts``, each host part's split; no task holds more words than a part's own."""
+
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
+        for b in batches:
+            yield {"part": b["part"], "words": [Segmenter({k["word"]: k["n"] for k in known}, total).split(p) for p, known in zip(b["part"], b["known"], strict=True)]}
+
+    known = pieces.join(counts, "word", "left").groupBy("part").agg(F.collect_list(F.when(F.col("n").isNotNull(), F.struct("word", "n"))).alias("known"))
+    schema = T.StructType([T.StructField("part", T.StringType()), T.StructField("words", T.ArrayType(T.StringType()))])
+    splits = map_batches(known, ["part", "known"], run, schema)
+    cuts = names(urls).join(splits, "part").groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("part", "words"))).alias("cuts"))
+    return written(urls.join(cuts, "host", "left"), "url-cuts")
+
 
+def lexicon(pages: DataFrame, urls: DataFrame, held: int = HELD) -> tuple[DataFrame, dict[str, int] | None, int]:
+    """The urls, the counts of the words in their host parts, and the total of all counts.
 
-def train(urls: DataFrame, counts: dict[str, int], rules=RULES) -> Bayes:
-    """Naive Bayes from the urls (host, path) that a rule decides."""
+    With more than ``held`` such words there are no counts; the urls then bring their ``cuts``.
+    """
+    counts = written(count_words(pages), "url-words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    pieces = inside(names(urls).select("part").distinct())
+    rows = counts.join(pieces.select("word").distinct(), "word", "left_semi").limit(held + 1).collect()
+    if len(rows) > held:
+        return cut_apart(urls, pieces, counts, total), None, total
+    return urls, {r["word"]: r["n"] for r in rows}, total
+
+
+def splitters(b: dict[str, list], cut: Segmenter | None) -> Iterable[Callable[[str], Iterable[str]]]:
+    """Each row's way to split a host part: the lexicon's, or the row's own ``cuts``."""
+    return itertools.repeat(cut.split, len(b["host"])) if cut else [dict(c or ()).__getitem__ for c in b["cuts"]]
+
+
+def train(urls: DataFrame, counts: dict[str, int] | None, rules=RULES, total: int | None = None) -> Bayes:
+    """Naive Bayes from the urls (host, path) that a rule decides; without counts they bring their cuts."""
     shared = urls.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
-        found, cut = Rules(rules), Segmenter(shared.value)
+        found, cut = Rules(rules), None if shared.value is None else Segmenter(shared.value, total)
         sums = {"block": np.zeros((1 << BITS) + 1, np.int64), "allow": np.zeros((1 << BITS) + 1, np.int64)}
         for b in batches:
-            for host, path in zip(b["host"], b["path"], strict=True):
+            for host, path, split in zip(b["host"], b["path"], splitters(b, cut), strict=True):
                 verdict = found.find(host, path)[1]
                 if verdict:
                     s = sums[verdict]
                     s[-1] += 1
-                    for w in words_of(host, path, cut):
+                    for w in words_of(host, path, split):
                         s[place(w)] += 1
         for verdict, s in sums.items():
             k = np.flatnonzero(s)
             yield {"verdict": [verdict] * len(k), "place": k, "n": s[k]}
 
     schema = T.StructType([T.StructField("verdict", T.StringType()), T.StructField("place", T.LongType()), T.StructField("n", T.LongType())])
-    rows = map_batches(urls, ["host", "path"], run, schema).groupBy("verdict", "place").agg(F.sum("n").alias("n")).collect()  # at most 2 * (2**BITS + 1)
+    rows = map_batches(urls, [c for c in ("host", "path", "cuts") if c in urls.columns], run, schema).groupBy("verdict", "place").agg(F.sum("n").alias("n")).collect()  # at most 2 * (2**BITS + 1)
     sums = {v: np.zeros((1 << BITS) + 1) for v in ("block", "allow")}
     for r in rows:
         sums[r["verdict"]][r["place"]] = r["n"]
     return Bayes.fit(sums["block"][:-1], sums["allow"][:-1], int(sums["block"][-1]), int(sums["allow"][-1]))
 
 
-def judge(pages: DataFrame, rules=RULES, counts: dict[str, int] | None = None, model: Bayes | None = None) -> DataFrame:
-    """page_id, host, path, rule, verdict, score and words of every page."""
+def judge(pages: DataFrame, rules=RULES, counts: dict[str, int] | None = None, model: Bayes | None = None, held: int = HELD) -> DataFrame:
+    """page_id, host, path, rule, verdict, score and words of every page.
+
+    ``counts``, if given, are a whole lexicon.
+    """
     host, path = split_url()
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    counts = lexicon(pages) if counts is None else counts
-    model = train(urls, counts, rules) if model is None else model
+    total = None
+    if counts is None:
+        urls, counts, total = lexicon(pages, urls, held)
+    model = train(urls, counts, rules, total) if model is None else model
     shared = pages.sparkSession.sparkContext.broadcast((counts, model))
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
-        found, cut, m = Rules(rules), Segmenter(shared.value[0]), shared.value[1]
+        known, m = shared.value
+        found, cut = Rules(rules), None if known is None else Segmenter(known, total)
         for b in batches:
             out: dict[str, list] = {"rule": [], "verdict": [], "score": [], "words": []}
-            for h, p in zip(b["host"], b["path"], strict=True):
+            for h, p, split in zip(b["host"], b["path"], splitters(b, cut), strict=True):
                 rule, verdict = found.find(h, p)
-                words = words_of(h, p, cut)
+                words = words_of(h, p, split)
                 score = m.score(words)
                 out["rule"].append(rule)
                 out["verdict"].append(verdict or ("block" if score > 0 else "allow"))
                 out["score"].append(score)
                 out["words"].append(words)
-            yield b | out
+            yield {n: b[n] for n in ("page_id", "host", "path")} | out
 
     schema = T.StructType([T.StructField("page_id", T.LongType()), *[T.StructField(n, T.StringType()) for n in ("host", "path", "rule", "verdict")], T.StructField("score", T.DoubleType()), T.StructField("words", T.ArrayType(T.StringType()))])
-    return map_batches(urls, ["page_id", "host", "path"], run, schema)
+    return map_batches(urls, [c for c in ("page_id", "host", "path", "cuts") if c in urls.columns], run, schema)

@@ -5,6 +5,7 @@ import gzip
 import glob
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -284,6 +285,23 @@ def test_bayes_learns_from_rules(spark):
     assert got[900].verdict == "block" and got[901].verdict == "allow" and "h:cheap" in got[900].words and "h:pills" in got[900].words
 
 
+def test_names_are_split_on_all_words(spark):
+    """Words below the 50,000 most frequent count too, whether tasks hold the lexicon or not."""
+    letters = "bcdfghjklm"
+    common = " ".join("q" + "".join(letters[int(c)] for c in f"{i:05d}") for i in range(50_001))
+    rows = [(i, f"http://zebra{i % 2}.example.{'com/en' if i % 2 else 'net/de'}/{i}", common) for i in range(3)]
+    rows += [(3, "http://www.yonderzebra.x.zebrayonder.org/a", "zebra yonder"), (4, "http://zebrayonder.org", "zebra yonder"), (5, None, None), (6, "http://org/", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    counts = Counter(w for _, _, html in rows for w in (html or "").split())
+    cut = url_filter.Segmenter(counts)
+    assert cut.split("zebrayonder") == ("zebra", "yonder")
+    got = {r.page_id: r for r in url_filter.judge(pages).collect()}
+    assert got[3].words[:7] == ["d:org", *[f"h:{w}" for p in ("www", "yonderzebra", "x", "zebrayonder") for w in cut.split(p)]][:7]
+    assert got[4].words == ["d:org", "h:zebra", "h:yonder"] and got[6].words == ["d:org"]
+    apart = {r.page_id: r for r in url_filter.judge(pages, held=1).collect()}
+    assert apart == got == {r.page_id: r for r in url_filter.judge(pages, counts=dict(counts)).collect()}
+
+
 def test_archive_round_trip(spark, tmp_path):
     rows = [(1, "http://a/", "same"), (2, "http://b/\r\nX: y", "same"), (3, None, None), (4, "u", ""), (5, "é", "ünï " * 3), (None, "n", "same"), (None, "m", "alone"), (6, "r", "rep"), (6, "r2", "rep"), (7, "l", "x" * 200_000)]
     d = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, header string")
