@@ -4,7 +4,8 @@ A text's features are hashed 1- to 3-grams of its lower-cased bytes, with everyt
 folded to one blank, square-rooted and scaled to length 1. One linear support vector machine per
 family (against the rest) chooses the family; within it, one linear machine per pair of languages
 votes, ties going to the larger sum of margins, then to the first name. Machines are trained by
-averaged subgradient steps (Pegasos) on a bounded sample of rows, equally many of each language.
+averaged subgradient steps (Pegasos) on a bounded sample of rows, equally many of each language;
+every language outside the held-out fold has machines.
 
 Families are the genealogical ones below; a language not listed is a family of its own.
 
@@ -32,10 +33,10 @@ from pyspark.sql import types as T
 from .common import cut, fold, map_batches, one_row, utf8
 
 BITS = 14
-#: Training rows of each language, rows in all, and languages (the most frequent), at most.
+#: Training rows of each language at most; rows in all, as long as each language then has LEAST_ROWS.
 TRAIN_ROWS = 600
 TRAIN_TOTAL = 3200
-MAX_LANGS = 64
+LEAST_ROWS = 50
 EPOCHS = 4
 LAMBDA = 1e-4
 SHARP = 4.0
@@ -181,12 +182,12 @@ class LangModel:
 
 
 def train(docs: DataFrame, parts: int = 4, held: int = 2, rows: int = TRAIN_ROWS, seed: int = 17) -> LangModel:
-    """A model from about ``rows`` rows of each of the most frequent languages."""
+    """A model from about ``rows`` rows of each language, fewer if they are many, but LEAST_ROWS."""
     ids = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", parts) != held)).select("doc_id", F.col("lang").alias("_lang"))
-    have = {r["_lang"]: r["n"] for r in ids.groupBy("_lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(MAX_LANGS).collect()}
+    have = {r["_lang"]: r["n"] for r in ids.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
     if not have:
         return LangModel.fit([], [])
-    rows = min(rows, TRAIN_TOTAL // len(have))
+    rows = min(rows, max(LEAST_ROWS, TRAIN_TOTAL // len(have)))
     span = 1 << 30
     limit = F.create_map(*[F.lit(x) for k, n in have.items() for x in (k, span if n <= rows else int(0.95 * rows / n * span))])
     chosen = ids.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(span)) < limit[F.col("_lang")]).dropDuplicates(["doc_id"])

@@ -214,6 +214,22 @@ def test_langid_odd_rows(spark):
     assert one.predict("any text")[0] in ("en", "und")
 
 
+def test_langid_learns_more_than_64_languages(spark):
+    """70 languages, each with words of its own; the last are the rarest."""
+    rng, rows = np.random.default_rng(6), []
+    for k in range(70):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(5)]
+        rows += [(1000 * k + i, " ".join(rng.choice(words, 30)), f"x{k:02d}") for i in range(16 if k < 64 else 10)]
+    d = docs(spark, rows)
+    model = hier_langid.train(d)
+    lang = {i: g for i, _, g in rows}
+    assert {x for m in model.members.values() for x in m} == set(lang.values())
+    got = hier_langid.predict(d, model).collect()
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in got if r.held_out]) > 0.95
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in got if lang[r.doc_id] >= "x64"]) > 0.95
+    assert hier_langid.keep_known(d, model).count() > 0.95 * len(rows)
+
+
 def test_langid_long_text_is_whole():
     a = hier_langid.features("ab " * 600_000)
     b = hier_langid.features("ab " * 200)
