@@ -236,17 +236,12 @@ def measure(points: DataFrame, targets: DataFrame, cfg: RunConfig | None = None,
     return measurements(found, targets, cfg)
 
 
-#: Clusters that the continuity probe looks at, largest first.
-PROBED = 500
-
-
 def candidates(points: DataFrame, cell: float = 0.05, least: int = 150, band: tuple[float, float] = (1.2, 1.4), heights: tuple[float, ...] = (0.6, 1.0, 1.8, 2.6), reach: float = 0.5, share: float = 0.75) -> DataFrame:
     """Stem candidates: 8-connected clusters of occupied raster cells in a height band.
 
     Labels spread by smallest cell along cell adjacency with pointer jumping until they rest;
-    clusters are then measured and gated, reasons kept for those refused. The PROBED largest that
-    pass must go on above and below: enough points within ``reach`` at ``share`` of ``heights``.
-    Clusters beyond them are not accepted and carry no reason.
+    clusters are then measured and gated, reasons kept for those refused. All that pass must go on
+    above and below: enough points within ``reach`` at ``share`` of ``heights``.
     """
     half = (band[1] - band[0]) / 2
     p = points.filter(F.col("h").between(*band)).withColumn("ix", F.floor(F.col("x") / cell)).withColumn("iy", F.floor(F.col("y") / cell))
@@ -256,7 +251,7 @@ def candidates(points: DataFrame, cell: float = 0.05, least: int = 150, band: tu
     wide, thin = F.greatest("ex", "ey"), F.least("ex", "ey")
     why = F.array_compact(F.array(F.when(F.col("n_points") < least, "too_few_points"), F.when((wide < 0.08) | (wide > 2.0), "implausible_extent"), F.when(wide > 3.0 * F.greatest(thin, F.lit(1e-6)), "elongated")))
     c = checkpointed(c.withColumn("reasons", why))
-    probed = c.filter(F.size("reasons") == 0).orderBy(F.desc("n_points"), "label").limit(PROBED).select("label", "cx", "cy")
+    probed = c.filter(F.size("reasons") == 0).select("label", "cx", "cy")
     near = crop_many(points.select("x", "y", "h"), probed, reach * 2**0.5).filter((F.abs(F.col("x") - F.col("cx")) <= reach) & (F.abs(F.col("y") - F.col("cy")) <= reach))
     hits = horizontal_sections(near, list(heights), 2 * half).groupBy("label", "height_m").agg(F.count("*").alias("n")).filter(F.col("n") >= max(20, least // 8))
     found = probed.select("label").join(hits.groupBy("label").agg(F.count("*").alias("hits")), "label", "left").select("label", (F.coalesce("hits", F.lit(0)) / len(heights)).alias("_share"))

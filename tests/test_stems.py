@@ -49,6 +49,18 @@ def test_candidates_need_continuity(spark):
     assert not got[5].accepted and got[5].reasons == ["not_continuous"] and got[5].continuity == 0.0
 
 
+def test_every_cluster_that_passes_is_probed(spark):
+    """520 stems of 30 points a height, every tenth only at 1.3 m."""
+    turn = np.arange(30) * 2 * np.pi / 30
+    rows = [(2.0 * (k % 40) + 0.1 * np.cos(a), 2.0 * (k // 40) + 0.1 * np.sin(a), h) for k in range(520) for h in ((1.3,) if k % 10 == 0 else (0.6, 1.0, 1.3, 1.8, 2.6)) for a in turn]
+    points = spark.createDataFrame([tuple(map(float, r)) for r in rows], "x double, y double, h double")
+    got = measure.candidates(points, least=30).toPandas()
+    short = ((got.cx / 2).round() + 40 * (got.cy / 2).round()) % 10 == 0
+    assert len(got) == 520 and short.sum() == 52
+    assert (got.accepted == ~short).all() and (got.continuity[~short] == 1).all()
+    assert (got.reasons.map(list)[short].map(lambda r: r == ["not_continuous"])).all()
+
+
 def test_boundaries(spark):
     columns = "tree_id string, geometry string, height_m double, model string, cx double, cy double, diameter_m double, major_m double, minor_m double, rotation_deg double, sector_radius array<double>"
     found = spark.createDataFrame([("a", "horizontal", 1.3, "circle", 1.0, 2.0, 0.4, None, None, None, None), ("a", "horizontal", 1.3, "ellipse", 0.0, 0.0, 0.4, 0.6, 0.2, 90.0, None), ("a", "horizontal", 1.3, "outline", 0.0, 0.0, 0.4, None, None, None, [0.2] * 8), ("a", "horizontal", 1.3, "none", None, None, None, None, None, None, None)], columns)
