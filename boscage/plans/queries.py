@@ -554,15 +554,8 @@ def height_histogram(spark, sf):
 # ---- iterative numerics: no SQL states them ----------------------------------------------------------
 
 
-def _config(thickness: float = 0.1) -> RunConfig:
-    from ..config import set_value
-
-    cfg = set_value(RunConfig(), "slice.min_points", 30)
-    return set_value(set_value(cfg, "slice.thickness_m", thickness), "bootstrap.n_resamples", 50)
-
-
 def _fits(spark, sf):
-    return me.fit_trees(scene.stems(spark, sf), scene.targets(spark, sf).select("tree_id", "cx", "cy", "ground_z"), _config())
+    return me.fit_trees(scene.stems(spark, sf), scene.targets(spark, sf).select("tree_id", "cx", "cy", "ground_z"), RunConfig())
 
 
 @query()
@@ -600,5 +593,5 @@ def model_boundaries(spark, sf):
 def export_measurements(spark, sf):
     """The whole measurement of every stem, as the flat export."""
     t = scene.targets(spark, sf).select("tree_id", "cx", "cy", "ground_z")
-    cfg = _config()
+    cfg = RunConfig()
     return me.export(me.measure(scene.stems(spark, sf), t, cfg), cfg)

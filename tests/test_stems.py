@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from boscage.config import RunConfig
 from boscage.operators import ground, measure, plots
+from boscage.plans import scene
 
 
 def plane_by_hand(a, b, z):
@@ -81,3 +82,13 @@ def test_figure_tables_equal_sql(spark, sf_dir, name):
     got = entry.queries()[name](spark, sf_dir).toPandas()[want.columns]
     key = ["t", "bin"]
     assert np.allclose(got.sort_values(key).to_numpy(float), want.sort_values(key).to_numpy(float)) and len(got)
+
+
+def test_registered_queries_use_the_production_settings(spark, sf_dir):
+    """Too few points of a section are the run settings' 60, and deviations come from their 200 resamples."""
+    m = entry.queries()["export_measurements"](spark, sf_dir).toPandas()
+    few = m.reasons.str.contains("too_few_points_in_section")
+    assert (few == (m.n_points_section < RunConfig().slice.min_points)).all() and (m.n_points_section.between(30, 59)).any()
+    t = scene.targets(spark, sf_dir).select("tree_id", "cx", "cy", "ground_z")
+    want = measure.fit_trees(scene.stems(spark, sf_dir), t, RunConfig()).filter("bootstrap_std_m IS NOT NULL").select("tree_id", "geometry", "model", "bootstrap_std_m").collect()
+    assert len(want) and sorted(entry.queries()["bootstrap_std"](spark, sf_dir).collect()) == sorted(want)
