@@ -7,12 +7,13 @@ informative Dirichlet prior (the pooled frequencies) and are made cautious by a
 standard deviation. A token scores the larger of its two, less a drift, so that ordinary text
 scores negative. The linear-time scan of Ruzzo and Tompa lists every maximal scoring
 passage of a whole text. Scores become E-values by extreme-value statistics: lambda solves
-``E[exp(lambda s)] = 1`` over clean tokens, K comes from the clean texts' best passages. The
+``E[exp(lambda s)] = 1`` over every token of the clean training texts, K comes from the clean texts' best passages. The
 evidence of a text is the sum of -ln(E) over its significant passages; a logistic curve fitted on
 the training rows turns it into a score from 0 to 1.
 
 Counts are summed over all labelled training rows, equal texts once (distributed, at most
-2 * 2**BITS sums); the curve and K come from a bounded sample of them.
+2 * 2**BITS sums); the same pass counts the clean texts' tokens by their pair of places, and Spark
+sums those by the place that gives the score; the curve and K come from a bounded sample of rows.
 
 Defined cases: null and empty texts and those without tokens have no passage and the curve's score
 for no evidence; a null doc_id gets held_out false and never trains; repeated rows are scored
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, fold, map_batches, mix, one_row, utf8, word_hashes
+from .common import bounded_sample, fold, map_batches, mix, one_row, utf8, word_hashes, written
 
 BITS = 18
 #: Pseudo-count of the Dirichlet prior, standard deviations taken off, and the drift.
@@ -43,6 +44,10 @@ CALIBRATION_ROWS = 6000
 #: A passage counts as significant below this E-value.
 E_MAX = 0.1
 E_FLOOR = 1e-12
+#: Clean tokens of a task that are counted at once.
+FLUSH = 1 << 21
+#: What stands for a label in rows of counts by pair of places.
+_PAIRS = 2
 
 
 def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,14 +174,30 @@ def _usable(labels: DataFrame, parts: int, held: int) -> DataFrame:
     return kept.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_label"))
 
 
-def count_tokens(docs: DataFrame, labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of each place in toxic and clean rows: partial sums per task, then one sum each."""
+def count_tokens(docs: DataFrame, labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """Counts of each place in toxic and clean rows: partial sums per task, then one sum each.
+
+    Third, pair and n: every token of the clean rows by its places, (word << BITS) + stem.
+    """
 
     def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
         sums = [np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)]
+        waiting: list[np.ndarray] = []
+
+        def pairs() -> dict:
+            k, n = np.unique(np.concatenate([np.zeros(0, np.int64), *waiting]), return_counts=True)
+            waiting.clear()
+            return {"label": np.full(len(k), _PAIRS, np.int32), "place": k, "n": n}
+
         for b in batches:
             for t, y in zip(b["text"], b["_label"], strict=True):
-                sums[y][np.unique(tokens(t)[0])] += 1
+                places = tokens(t)[0]
+                sums[y][np.unique(places)] += 1
+                if y == 0:
+                    waiting.append((places[:, 0] << BITS) + places[:, 1])
+            if sum(map(len, waiting)) > FLUSH:
+                yield pairs()
+        yield pairs()
         for y in (0, 1):
             k = np.flatnonzero(sums[y])
             yield {"label": np.full(len(k), y, np.int32), "place": k, "n": sums[y][k]}
@@ -185,19 +206,40 @@ def count_tokens(docs: DataFrame, labelled: DataFrame) -> tuple[np.ndarray, np.n
     texts = docs.select(F.col("doc_id"), F.xxhash64("text").alias("_hash")).join(labelled, "doc_id")
     once = texts.groupBy("_hash").agg(F.min("doc_id").alias("doc_id"), F.max("_label").alias("_label")).select("doc_id", "_label")
     rows = map_batches(docs.select("doc_id", "text").join(once, "doc_id"), ["text", "_label"], run, schema)
-    sums = rows.groupBy("label", "place").agg(F.sum("n").alias("n")).toPandas()  # at most 2 * 2**BITS rows
+    counts = written(rows.groupBy("label", "place").agg(F.sum("n").alias("n")), "toxic-counts")
+    sums = counts.filter(F.col("label") != _PAIRS).toPandas()  # at most 2 * 2**BITS rows
     out = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
     for y in (0, 1):
         part = sums[sums.label == y]
         out[y][part.place.to_numpy(np.int64)] = part.n.to_numpy(float)
-    return out[1], out[0]
+    return out[1], out[0], counts.filter(F.col("label") == _PAIRS).select(F.col("place").alias("pair"), "n")
+
+
+def scoring(pairs: DataFrame, token: np.ndarray) -> np.ndarray:
+    """How many of the tokens that ``pairs`` counts take their score from each place."""
+    shared = pairs.sparkSession.sparkContext.broadcast(token)
+
+    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
+        sums = np.zeros(1 << BITS, np.int64)
+        for b in batches:
+            pair = np.array(b["pair"], np.int64)
+            word, stem = pair >> BITS, pair & ((1 << BITS) - 1)
+            np.add.at(sums, np.where(shared.value[word] >= shared.value[stem], word, stem), np.array(b["n"], np.int64))
+        k = np.flatnonzero(sums)
+        yield {"place": k, "n": sums[k]}
+
+    schema = T.StructType([T.StructField("place", T.LongType()), T.StructField("n", T.LongType())])
+    found = map_batches(pairs, ["pair", "n"], run, schema).groupBy("place").agg(F.sum("n").alias("n")).toPandas()  # at most 2**BITS rows
+    out = np.zeros(1 << BITS)
+    out[found.place.to_numpy(np.int64)] = found.n.to_numpy(float)
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, rows: int = CALIBRATION_ROWS, seed: int = 13) -> Toxicity:
     labelled = _usable(labels, parts, held)
-    toxic, clean = count_tokens(docs, labelled)
+    toxic, clean, pairs = count_tokens(docs, labelled)
     token = log_odds(toxic, clean)
-    lam = karlin_lambda(token.astype(np.float64), clean + 1e-9)  # places stand for tokens here
+    lam = karlin_lambda(token.astype(np.float64), scoring(pairs, token) + 1e-9)
     shared = docs.sparkSession.sparkContext.broadcast(token)
 
     def fit(cols: dict[str, list]) -> bytes:

@@ -143,6 +143,20 @@ def test_held_out_accuracy(spark, name, column, parts, held, least):
     assert (one > zero).mean() + (one == zero).mean() / 2 > 0.92
 
 
+def test_lambda_is_that_of_clean_tokens(spark):
+    """Every token of the clean training texts counts, by the score it gets; equal texts once."""
+    rng, words = np.random.default_rng(7), ["day", "days", "fine", "finest", "went", "home", "awful", "river", "the"]
+    share = np.array([1, 1, 2, 1, 2, 3, 0.02, 4, 12])
+    rows = [(i, " ".join([*rng.choice(words, 40, p=share / share.sum()), *(["you", "awful", "blorpish"] * 4 if i % 3 == 0 else [])]), "en") for i in range(600)]
+    rows += [(600 + i, rows[1][1], "en") for i in range(20)]
+    d = docs(spark, rows)
+    model = toxic_segments.train(d, labels(spark, [(i, 1, int(i % 3 == 0 and i < 600), "t") for i, _, _ in rows]))
+    clean = {t for i, t, _ in rows if not (i % 3 == 0 and i < 600) and zlib.crc32(str(i).encode()) % 3 != 1}
+    scores = np.concatenate([model.scores(toxic_segments.tokens(t)[0]) for t in clean])
+    assert (scores > 0).any() and scores.mean() < 0
+    assert np.exp(model.lam * scores).mean() == pytest.approx(1.0, abs=1e-6)
+
+
 def test_toxic_passages_and_odd_rows(spark):
     rows = [(i, f"the day was fine and number{i} went home " * 3 + ("you awful blorpish thing " if i % 3 == 0 else ""), "en") for i in range(300)]
     lab = labels(spark, [(i, 1, int(i % 3 == 0), "t") for i in range(300)])
