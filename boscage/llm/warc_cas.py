@@ -1,7 +1,8 @@
 """Content-addressed WARC archive.
 
 Every page gets a WARC record: the bytes of its header block, and a payload. Payloads are stored
-once, addressed by SHA-256 and verified by SHA-1 and length when stored and when read; header
+once, addressed by SHA-256 and verified by SHA-1 and length when stored and when read (a payload
+that fails stops the job); header
 blocks are stored exactly, one per record, in a second table. Among records with equal payloads of
 at least ``min_bytes`` bytes, the one with the largest page_id is the response and the others are
 revisits of it. Original records come back by joining headers to payloads on the address.
@@ -67,9 +68,11 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> str:
     best = light.groupBy("address").agg(F.max("page_id").alias("first"))
     linked = light.join(best, "address").withColumn("refers_to", F.when((F.col("bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
     headers(linked).write.option("compression", "zstd").parquet(f"{path}/headers")
-    # equal addresses hold equal bytes, so any of them is the stored one; copies collapse in the
-    # task that reads them, before anything moves
-    loads = rows.groupBy("address").agg(F.any_value("payload").alias("payload"), F.min("sha1").alias("sha1"), F.min("bytes").alias("bytes"))
+    # equal addresses must hold equal digests and lengths; then any payload is the stored one. Copies
+    # collapse in the task that reads them, before anything moves
+    same = (F.min("sha1") == F.max("sha1")) & (F.min("bytes") == F.max("bytes"))
+    failed = F.raise_error(F.concat(F.lit("payloads differ at address "), F.col("address"))).cast("binary")
+    loads = rows.groupBy("address").agg(F.when(same, F.any_value("payload")).otherwise(failed).alias("payload"), F.min("sha1").alias("sha1"), F.min("bytes").alias("bytes"))
     loads.write.option("compression", "zstd").parquet(f"{path}/payloads")
     return path
 
@@ -77,18 +80,22 @@ def write(pages: DataFrame, path: str, min_bytes: int = 0) -> str:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The original records: header, payload and the fields parsed from the header.
 
-    ``verified`` tells that the payload's bytes have the address, digest and length they should.
+    ``verified`` tells that the payload's bytes have the address, digest and length they should;
+    reading a payload that is missing or has not raises an error.
     """
-    heads, loads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads").select("address", "payload")
+    heads, loads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads").select("address", "payload", F.col("sha1").alias("_sha1"), F.col("bytes").alias("_bytes"))
     field = lambda name: F.nullif(F.regexp_extract("header", rf"\r\n{name}: ([^\r]*)\r\n", 1), F.lit(""))
     ident = lambda name: F.regexp_extract("header", rf"\r\n{name}: <urn:page:(-?\d+)>\r\n", 1).try_cast("long")
-    joined = heads.select("address", "header").join(loads, "address", "left")
-    digest = base32(F.sha1("payload"))
+    length, digest = F.octet_length("payload").cast("long"), base32(F.sha1("payload"))
+    told = F.when(field("WARC-Type") == "revisit", F.lit(0)).otherwise(length).cast("string") == field("Content-Length")
+    ok = (F.sha2("payload", 256) == F.col("address")) & (F.sha1("payload") == F.col("_sha1")) & (F.concat(F.lit("sha1:"), digest) == field("WARC-Payload-Digest")) & (length == F.col("bytes")) & (length == F.col("_bytes")) & told
+    failed = F.raise_error(F.concat(F.lit("payload not verified: "), F.coalesce("address", F.lit("")))).cast("binary")
+    joined = heads.select("address", "header", "bytes").join(loads, "address", "left").withColumn("payload", F.when(ok, F.col("payload")).otherwise(failed))
     return joined.select(
         ident("WARC-Record-ID").alias("page_id"), field("WARC-Target-URI").alias("url"), "header", "payload",
-        F.octet_length("payload").cast("long").alias("payload_bytes"), digest.alias("payload_digest"),
+        length.alias("payload_bytes"), digest.alias("payload_digest"),
         field("WARC-Type").alias("record_type"), ident("WARC-Refers-To").alias("refers_to"),
-        ((F.sha2("payload", 256) == F.col("address")) & (F.concat(F.lit("sha1:"), digest) == field("WARC-Payload-Digest"))).alias("verified"),
+        F.col("payload").isNotNull().alias("verified"),
     )
 
 

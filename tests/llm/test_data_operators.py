@@ -9,8 +9,10 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pytest
 import xxhash
 from boscage.llm import hier_mixing, queries, simhash_vp, tier_packing, url_filter, voronoi_knn, warc_cas
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 
@@ -336,6 +338,22 @@ def test_archive_round_trip(spark, tmp_path):
     assert warc_cas.archive(d.limit(0)).count() == 0
 
 
+def test_archive_refuses_payloads_that_fail(spark, tmp_path, monkeypatch):
+    d = spark.createDataFrame([(1, "a", "one"), (2, "b", "two!")], "page_id long, url string, html string")
+    path = warc_cas.write(d, f"file://{tmp_path}/arc")
+    heads, loads = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
+    for k, (h, p) in enumerate([(heads, loads.withColumn("payload", F.lit(b"two?"))), (heads.withColumn("bytes", F.col("bytes") + 1), loads), (heads, loads.withColumn("bytes", F.lit(4).cast("long"))), (heads, loads.filter("bytes = 4"))]):
+        h.write.parquet(f"file://{tmp_path}/bad{k}/headers")
+        p.write.parquet(f"file://{tmp_path}/bad{k}/payloads")
+        for column in ("verified", "payload_bytes"):
+            with pytest.raises(Exception, match="payload not verified"):
+                warc_cas.read(spark, f"file://{tmp_path}/bad{k}").select(column).collect()
+    described = warc_cas._described
+    monkeypatch.setattr(warc_cas, "_described", lambda pages: described(pages).withColumn("address", F.lit("same")))
+    with pytest.raises(Exception, match="payloads differ"):
+        warc_cas.write(d, f"file://{tmp_path}/differ")
+
+
 def test_cells_share_groups_up_to_a_bound():
     p = np.array([[0.0, 0], [10, 0], [1, 0], [11, 0], [0, 2]])
     got = {c: (first, parts) for c, first, parts in voronoi_knn.group_cells({0: 3, 1: 25, 2: 4, 3: 2, 4: 3}, p, 10)}
