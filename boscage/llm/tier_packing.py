@@ -5,7 +5,9 @@ rest. Rests are routed to the shortest tier that holds them. Each tier is packed
 window opens with the longest rest of its tier, and its gap is filled with the longest rests of
 the same and shorter tiers that fit, at last by cutting one to the exact gap. So every window is
 full. What is left at the end of a task (less than one window of the longest tier) becomes windows
-of falling powers of two. Windows are dealt to step groups of equal token numbers, tier by tier.
+of falling powers of two. Windows are dealt to step groups of equal token numbers, size by
+size over all tasks: each task numbers its windows of a size, the pieces are stored, and the tasks'
+counts tell where their numbers begin. So only the last group of a size may be less than full.
 
 A task packs what it reads, in pools of bounded size, and needs no shuffle; a window's pieces come
 from one task, so a retried task replaces all of them. Window ids are (partition, counter).
@@ -22,6 +24,7 @@ import struct
 import unicodedata
 import zlib
 from bisect import bisect_right, insort
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, written
 
 TIERS = (128, 256, 512, 1024, 2048)
 END_ID = 1
@@ -138,29 +141,26 @@ def encoder(path: str) -> Encoder:
 
 
 class Packer:
-    """Packs the documents of one task; ``take`` and ``finish`` yield rows of SCHEMA."""
+    """Packs the documents of one task; ``take`` and ``finish`` yield rows of SCHEMA, whose
+    step_group is the window's number among the task's of its size."""
 
-    def __init__(self, partition: int, tiers: tuple[int, ...] = TIERS, step_ids: int = STEP_IDS, pool_ids: int = POOL_IDS) -> None:
-        self.tiers, self.step_ids, self.pool_ids = tiers, step_ids, pool_ids
+    def __init__(self, partition: int, tiers: tuple[int, ...] = TIERS, pool_ids: int = POOL_IDS) -> None:
+        self.tiers, self.pool_ids = tiers, pool_ids
         self.next, self.base = 0, partition << 36
         self.pool: list[list[tuple]] = [[] for _ in tiers]  # rests of a tier: (length, order, doc, start, doc tokens, ids)
         self.waiting = self.order = 0
-        self.steps: dict[int, list[int]] = {}
-        self.groups = 0
+        self.sizes: Counter[int] = Counter()
 
     def _emit(self, pieces: list[tuple], size: int) -> list[tuple]:
         """A window from (doc, start, doc tokens, ids) pieces; ``size`` is what it is padded to."""
         seq, at, rows = self.base + self.next, 0, []
         self.next += 1
-        step = self.steps.get(size)
-        if step is None or step[1] + size > self.step_ids:
-            step = self.steps[size] = [self.base + self.groups, 0]
-            self.groups += 1
-        step[1] += size
+        number = self.sizes[size]
+        self.sizes[size] += 1
         total = sum(len(p[3]) for p in pieces) // 4
         for doc, start, tokens, ids in pieces:
             n = len(ids) // 4
-            rows.append((doc, start, n, zlib.crc32(ids), tokens, seq, at, size, size - total, step[0]))
+            rows.append((doc, start, n, zlib.crc32(ids), tokens, seq, at, size, size - total, number))
             at += n
         return rows
 
@@ -241,6 +241,20 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def deal(rows: DataFrame, step_ids: int = STEP_IDS) -> DataFrame:
+    """Stored ``rows`` of packers with the step groups of their windows: (size << 40) + counter."""
+    task = F.shiftright("sequence_id", 36)
+    counts = rows.groupBy(task.alias("_task"), F.col("tier").alias("_size")).agg((F.max("step_group") + 1).alias("n")).collect()  # a task has a dozen sizes
+    begin, at = [], Counter()
+    for r in sorted(counts):
+        begin.append((r["_task"], r["_size"], at[r["_size"]]))
+        at[r["_size"]] += r["n"]
+    begins = rows.sparkSession.createDataFrame(begin, "_task long, _size int, _begin long")
+    group = F.shiftleft(F.col("tier").cast("long"), 40) + F.floor((F.col("_begin") + F.col("step_group")) / F.greatest(F.lit(1), F.floor(F.lit(step_ids) / F.col("tier"))))
+    dealt = rows.join(F.broadcast(begins), (task == F.col("_task")) & (F.col("tier") == F.col("_size")))
+    return dealt.select(*[group.alias(c) if c == "step_group" else c for c in rows.columns])
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] = TIERS, end_id: int = END_ID) -> DataFrame:
     """One row per piece (SCHEMA) of every document; ``tokenizer`` is a path on every machine."""
     path = tokenizer or default_tokenizer()
@@ -266,4 +280,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] =
         if rows:
             yield batch(rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, SCHEMA)
+    return deal(written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, SCHEMA), "packed"))

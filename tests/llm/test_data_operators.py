@@ -132,6 +132,16 @@ def test_packing_odd_rows(spark):
     assert tier_packing.pack(d.limit(0)).count() == 0
 
 
+def test_step_groups_are_full_over_all_tasks(spark):
+    """Of each window size at most one group is less than full, whatever the number of tasks."""
+    d = spark.createDataFrame([(i, f"some words of document {i} " * (20 + 97 * i % 700)) for i in range(240)], "doc_id long, text string").repartition(12)
+    got = tier_packing.pack(d).toPandas().drop_duplicates("sequence_id")
+    assert (got.sequence_id // 2**36).nunique() > 4
+    groups = got.groupby("step_group").agg(size=("tier", "first"), sizes=("tier", "nunique"), ids=("tier", "sum"))
+    assert (groups.sizes == 1).all() and groups.ids.max() == tier_packing.STEP_IDS
+    assert (groups[groups.ids < tier_packing.STEP_IDS].groupby("size").size() == 1).all()
+
+
 def brute_fill(budget, weights, caps):
     """Small equal steps by weight to whoever has room."""
     out, step = np.zeros(len(caps)), budget / 200_000
