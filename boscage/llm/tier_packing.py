@@ -12,6 +12,9 @@ counts tell where their numbers begin. So only the last group of a size may be l
 A task packs what it reads, in pools of bounded size, and needs no shuffle; a window's pieces come
 from one task, so a retried task replaces all of them. Window ids are (partition, counter).
 
+What looks like a special token in a text is text, and is encoded as such: no document can end
+another one. (The library's default would give the special id.)
+
 Defined cases: null text counts as empty (only the end id); a null doc_id is packed and stays null;
 repeated rows are packed each; an empty table gives no pieces; further columns are ignored.
 """
