@@ -12,8 +12,8 @@ counts tell where their numbers begin. So only the last group of a size may be l
 A task packs what it reads, in pools of bounded size, and needs no shuffle; a window's pieces come
 from one task, so a retried task replaces all of them. Window ids are (partition, counter).
 
-What looks like a special token in a text is text, and is encoded as such: no document can end
-another one. (The library's default would give the special id.)
+Ids are the library's own, also where a text holds an added token's name (``<|endoftext|>``): it
+gets that token's id.
 
 Defined cases: null text counts as empty (only the end id); a null doc_id is packed and stays null;
 repeated rows are packed each; an empty table gives no pieces; further columns are ignored.
@@ -23,11 +23,11 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import struct
 import unicodedata
 import zlib
-from bisect import bisect_right, insort
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,31 +41,38 @@ from .common import cut, written
 
 TIERS = (128, 256, 512, 1024, 2048)
 END_ID = 1
-#: Ids that wait in a pool before it is packed.
+#: Ids that wait in a pool before it is packed; a rest counts as REST_IDS more, for its own memory.
 POOL_IDS = 1 << 21
+REST_IDS = 32
 #: Ids of one step group.
 STEP_IDS = 1 << 16
-#: Distinct words, and parts of words, whose ids a worker remembers in each of two generations.
-REMEMBERED = 250_000
+#: Bytes that remembered words, and parts of words, take in each of two generations, at about
+#: ENTRY bytes each besides their own; longer words than LONG are not remembered.
+REMEMBERED = 48 << 20
+ENTRY = 200
+LONG = 256
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, padding int, step_group long"
 
 
 class Remembered(dict):
-    """What ``make`` returns by key, in two generations: ``room`` keys become the older one, and
-    keys met again move back to the younger."""
+    """What ``make`` returns by key, in two generations: when the younger has ``room`` bytes it
+    becomes the older one, and keys met again move back to the younger."""
 
     def __init__(self, make: Callable, room: int = REMEMBERED) -> None:
         super().__init__()
-        self.make, self.room, self.older = make, room, {}
+        self.make, self.room, self.used, self.older = make, room, 0, {}
 
     def __missing__(self, key):
         got = self.older.get(key)
         if got is None:
             got = self.make(key)
-        if len(self) >= self.room:
-            self.older = dict(self)
+            if len(key) > LONG:
+                return got
+        if self.used >= self.room:
+            self.older, self.used = dict(self), 0
             self.clear()
+        self.used += len(key) + len(got) + ENTRY
         self[key] = got
         return got
 
@@ -83,20 +90,24 @@ class Encoder:
     Where the tokenizer splits at white space before its merges (normaliser NFC, one blank for
     white space, lower case; a pattern; byte level), words are encoded one by one and remembered,
     and so are the pattern's parts of words (a word of one part shares its bytes).
-    Any other tokenizer file encodes the whole text.
+    Any other tokenizer file encodes the whole text, and so does a text that may hold an added
+    token: those are found before white space is split.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
         kinds = [x["type"] for x in norm.get("normalizers", [])]
         steps = pre.get("pretokenizers", [])
-        self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and norm["normalizers"][1]["pattern"] == {"Regex": "\\s+"} and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["invert"] and steps[0]["behavior"] == "Removed" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"] and "\\s" in steps[0]["pattern"]["Regex"]
+        added = [t["content"] for t in spec.get("added_tokens", [])]
+        # how all added tokens begin, in signs that no normaliser changes
+        self.mark = os.path.commonprefix(added)[:2] if added else None
+        plain_mark = not added or self.mark in ("<|", "[[", "{{")
+        self.by_word = plain_mark and kinds == ["NFC", "Replace", "Lowercase"] and norm["normalizers"][1]["pattern"] == {"Regex": "\\s+"} and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["invert"] and steps[0]["behavior"] == "Removed" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"] and "\\s" in steps[0]["pattern"]["Regex"]
         self.words, self.parts = Remembered(self._word), Remembered(self._part)
         if self.by_word:
             self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
@@ -133,7 +144,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.by_word:
+        if not self.by_word or (self.mark and self.mark in text):
             return self._whole(text)
         return b"".join(map(self.words.__getitem__, text.encode("utf-8", "replace").split()))
 
@@ -145,13 +156,17 @@ def encoder(path: str) -> Encoder:
 
 class Packer:
     """Packs the documents of one task; ``take`` and ``finish`` yield rows of SCHEMA, whose
-    step_group is the window's number among the task's of its size."""
+    step_group is the window's number among the task's of its size.
+
+    Rests wait in a queue per length; the bits of ``lengths`` tell which queues hold any, so the
+    longest one up to a gap is found at once, however many rests are alike.
+    """
 
     def __init__(self, partition: int, tiers: tuple[int, ...] = TIERS, pool_ids: int = POOL_IDS) -> None:
         self.tiers, self.pool_ids = tiers, pool_ids
         self.next, self.base = 0, partition << 36
-        self.pool: list[list[tuple]] = [[] for _ in tiers]  # rests of a tier: (length, order, doc, start, doc tokens, ids)
-        self.waiting = self.order = 0
+        self.pool: list[deque[tuple]] = [deque() for _ in range(tiers[-1] + 1)]  # by length: (doc, start, doc tokens, ids)
+        self.lengths = self.waiting = self.rests = 0
         self.sizes: Counter[int] = Counter()
 
     def _emit(self, pieces: list[tuple], size: int) -> list[tuple]:
@@ -169,10 +184,24 @@ class Packer:
 
     def _rest(self, doc, start: int, tokens: int, ids) -> None:
         n = len(ids) // 4
-        tier = next(k for k, t in enumerate(self.tiers) if n <= t)
-        self.order += 1
-        insort(self.pool[tier], (n, -self.order, doc, start, tokens, ids), key=lambda r: r[:2])
+        self.pool[n].append((doc, start, tokens, ids))
+        self.lengths |= 1 << n
         self.waiting += n
+        self.rests += 1
+
+    def _pull(self, n: int, youngest: bool = False) -> tuple:
+        """The rest of length ``n`` that waits longest, or shortest."""
+        queue = self.pool[n]
+        got = queue.pop() if youngest else queue.popleft()
+        if not queue:
+            self.lengths ^= 1 << n
+        self.waiting -= n
+        self.rests -= 1
+        return got
+
+    def _longest(self, most: int) -> int:
+        """The length of the longest rest of at most ``most`` ids; -1 if there is none."""
+        return (self.lengths & ((1 << (most + 1)) - 1)).bit_length() - 1
 
     def take(self, doc, ids: bytes) -> list[tuple]:
         view, longest, rows = memoryview(ids), self.tiers[-1], []
@@ -182,56 +211,43 @@ class Packer:
             rows += self._emit([(doc, at, n, view[4 * at : 4 * (at + longest)])], longest)
         if n > whole:
             self._rest(doc, whole, n, bytes(view[4 * whole :]))
-        if self.waiting >= self.pool_ids:
+        if self.waiting + REST_IDS * self.rests >= self.pool_ids:
             rows += self._pack()
         return rows
 
-    def _fit(self, tier: int, gap: int) -> tuple | None:
-        """Takes the longest rest of ``tier`` or a shorter one that fits in ``gap``."""
-        for k in range(tier, -1, -1):
-            at = bisect_right(self.pool[k], gap, key=lambda r: r[0])
-            if at:
-                got = self.pool[k].pop(at - 1)
-                self.waiting -= got[0]
-                return got
-        return None
-
     def _pack(self) -> list[tuple]:
         rows = []
         for tier in range(len(self.tiers) - 1, -1, -1):
-            size = self.tiers[tier]
-            while self.pool[tier] and self.waiting >= size:
-                first = self.pool[tier].pop()
-                self.waiting -= first[0]
-                pieces, gap = [first[2:]], size - first[0]
+            size, below = self.tiers[tier], self.tiers[tier - 1] if tier else 0
+            while self.waiting >= size and (first := self._longest(size)) > below:
+                pieces, gap = [self._pull(first)], size - first
                 while gap:
-                    got = self._fit(tier, gap)
-                    if got is None:  # every rest is longer than the gap: cut the shortest
-                        k = next(k for k, p in enumerate(self.pool) if p)
-                        n, _, doc, start, tokens, ids = self.pool[k].pop(0)
-                        self.waiting -= n
+                    n = self._longest(gap)
+                    if n < 0:  # every rest is longer than the gap: cut the shortest
+                        n = (self.lengths & -self.lengths).bit_length() - 1
+                        doc, start, tokens, ids = self._pull(n, youngest=True)
                         pieces.append((doc, start, tokens, ids[: 4 * gap]))
                         self._rest(doc, start + gap, tokens, ids[4 * gap :])
                         break
-                    pieces.append(got[2:])
-                    gap -= got[0]
+                    pieces.append(self._pull(n))
+                    gap -= n
                 rows += self._emit(pieces, size)
         return rows
 
     def finish(self) -> list[tuple]:
-        rows = self._pack()
-        left = [r[2:] for p in reversed(self.pool) for r in reversed(p)]
-        self.pool, self.waiting = [[] for _ in self.tiers], 0
-        total = sum(len(r[3]) for r in left) // 4
+        rows, left = self._pack(), deque()
+        total = self.waiting
+        while self.rests:
+            left.append(self._pull(self.lengths.bit_length() - 1))
         while total:
             size = min(self.tiers[-1], 1 << (total.bit_length() - 1))
             gap, pieces = size, []
             while gap:
-                doc, start, tokens, ids = left.pop(0)
+                doc, start, tokens, ids = left.popleft()
                 n = min(gap, len(ids) // 4)
                 pieces.append((doc, start, tokens, ids[: 4 * n]))
                 if 4 * n < len(ids):
-                    left.insert(0, (doc, start + n, tokens, ids[4 * n :]))
+                    left.appendleft((doc, start + n, tokens, ids[4 * n :]))
                 gap -= n
             total -= size
             rows += self._emit(pieces, size)

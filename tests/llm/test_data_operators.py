@@ -4,6 +4,7 @@ import base64
 import gzip
 import glob
 import hashlib
+import time
 import zlib
 from collections import Counter
 
@@ -96,7 +97,6 @@ def test_simhash_odd_rows(spark):
 def test_packing_query_is_whole(spark, sf_dir):
     got = queries.op6_tier_packing(spark, sf_dir).toPandas()
     tok = Tokenizer.from_file(tier_packing.default_tokenizer())
-    tok.encode_special_tokens = True
     d = pd.read_parquet(f"{sf_dir}/documents.parquet")
     by = dict(list(got.groupby("doc_id")))
     for r in d.itertuples():
@@ -116,12 +116,65 @@ def test_packing_query_is_whole(spark, sf_dir):
 
 def test_encoder_equals_library():
     tok = Tokenizer.from_file(tier_packing.default_tokenizer())
-    tok.encode_special_tokens = True
     enc = tier_packing.Encoder(tier_packing.default_tokenizer())
     for t in ["It's O'Neill's don't  we'll", "ÉCOLE naïve ΣΑΣ σας İstanbul e\u0301te\u0301 ﬁn", "a\u00a0b\u2003c\x1cd\x85e\u3000f", "<|endoftext|> x <|startoftext|>", "日本語テキスト 123,456.78 ½ ² ①", "\u0301x \ufeffy", "emoji 👩‍👩‍👧 ok", "", "   ", "x" * 5000]:
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+LITERALS = ["<|startoftext|>", "<|endoftext|>"]
+
+
+def test_encoder_equals_library_on_random_texts():
+    """100,000 texts of words, signs, white space and added tokens between and inside words."""
+    tok = Tokenizer.from_file(tier_packing.default_tokenizer())
+    enc = tier_packing.Encoder(tier_packing.default_tokenizer())
+    rng = np.random.default_rng(4)
+    bits = [*LITERALS, "<|ENDOFTEXT|>", "<|", "|>", "<", "endoftext", "Hello", "WORLD", "don't", "été", "ÀÇ", "e\u0301", "日本", "Σας", "İ", "12", "3.5", "...", "?!", "\u00a0", "\x85", "\u2028", "\x1c", "x", "'s", "'LL", "_", "\u037e", "ß", "ﬁ", "👩‍👧"]
+    gaps = [" ", "", "", "\n", "  ", "\t\r\n", ", "]
+    picks, seps, sizes = rng.integers(0, len(bits), 600_000).tolist(), rng.integers(0, len(gaps), 600_000).tolist(), rng.integers(0, 12, 100_000).tolist()
+    at, texts = 0, []
+    for n in sizes:
+        texts.append("".join(bits[picks[k]] + gaps[seps[k]] for k in range(at, at + n)))
+        at = (at + n) % 599_900
+    assert sum(any(x in t for x in LITERALS) for t in texts) > 10_000
+    for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert enc.encode(t) == np.array(e.ids, "<u4").tobytes(), t
+
+
+def test_literals_of_added_tokens_in_a_document(spark):
+    rows = [(1, "hello <|endoftext|> world"), (2, "a<|startoftext|>b"), (3, "x " * 3000 + "<|endoftext|>" + " y" * 3000), (4, "<|endoftext|>")]
+    got = tier_packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).toPandas()
+    tok = Tokenizer.from_file(tier_packing.default_tokenizer())
+    for i, t in rows:
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 1]
+        for p in got[got.doc_id == i].itertuples():
+            assert p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes())
+    assert [*tok.encode(rows[0][1], add_special_tokens=False).ids] == [3306, 49407, 1002]
+
+
+def test_many_alike_rests_pack_in_linear_time():
+    took = []
+    for n in (100_000, 1_000_000):
+        packer, began, pieces = tier_packing.Packer(0), time.process_time(), 0
+        for i in range(n):
+            pieces += len(packer.take(i, b"\1\0\0\0"))
+        assert packer.waiting + tier_packing.REST_IDS * packer.rests < tier_packing.POOL_IDS
+        pieces += len(packer.finish())
+        took.append(time.process_time() - began)
+        assert pieces == n
+    assert took[1] < 25 * max(took[0], 0.2)
+
+
+def test_remembered_words_are_bounded_in_bytes():
+    enc = tier_packing.Encoder(tier_packing.default_tokenizer())
+    enc.words.room = enc.parts.room = 200_000
+    for k in range(300):
+        enc.encode(f"{k}" * 2000 + f" short{k} words{k * k}")
+    for memory in (enc.words, enc.parts):
+        for held in (memory, memory.older):
+            assert sum(len(k) + len(v) for k, v in held.items()) <= 200_000 and max(map(len, held), default=0) <= tier_packing.LONG
+
+
 def test_packing_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "words here"), (3, "same"), (3, "same"), (4, "long " * 30_000)]
     d = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, offset int").coalesce(1)
@@ -376,7 +429,7 @@ def test_cells_share_groups_up_to_a_bound():
 
 def test_encoder_agrees_with_the_tokenizer_when_its_memory_is_small():
     e = tier_packing.Encoder(tier_packing.default_tokenizer())
-    e.words.room = e.parts.room = 3
+    e.words.room = e.parts.room = 600
     odd = ["a\x07b \x00 \x7f x\x1fy", "Ça va\u0085b l'été, l'été", "İstanbul ßẞ don't", "日本 語 \U0001f600", "<|end|> [CLS] </s>", "­ soft­hyphen µ ﬁ", "x y z", "ÅÅ", "one two three four one TWO three, four. " * 5]
     for t in odd * 2:
         assert e.encode(t) == np.array(e.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
