@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from boscage.llm.common import members
 from boscage.llm import hier_mixing, queries, simhash_vp, tier_packing, url_filter, voronoi_knn, warc_cas
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -66,15 +67,96 @@ def test_vp_links_lose_nothing(spark, monkeypatch):
     fps = np.unique(np.concatenate([*flips, hub, np.array([0, 1, (1 << 64) - 1], np.uint64)]))
     monkeypatch.setattr(simhash_vp, "RESIDENTS", 64)
     monkeypatch.setattr(simhash_vp, "VISITORS", 256)
-    nodes = spark.createDataFrame(pd.DataFrame({"fp": fps.view(np.int64)}))
+    ids = list(range(len(fps)))
+    nodes = spark.createDataFrame(pd.DataFrame({"fp": fps.view(np.int64), "least": ids}))
     roots = simhash_vp.components(spark, simhash_vp.links(nodes)).toPandas()
     got = dict(zip(roots.id, roots.root))
-    ids = fps.view(np.int64).tolist()
     want = components_of(ids, fps)
     assert {i: got.get(i, i) for i in ids} == want
     assert len(set(want.values())) < len(ids)
 
 
+def test_sketched_links_lose_nothing(spark, monkeypatch):
+    """Pairs near in the fingerprint count only if their sketches are near, too."""
+    rng = np.random.default_rng(2)
+    n, how = 900, simhash_vp.FIVE_WORDS
+
+    def flipped(x, k):
+        for b in rng.choice(64, k, replace=False):
+            x = x ^ np.uint64(1 << int(b))
+        return x
+
+    base = rng.integers(0, 1 << 63, (60, 3), dtype=np.uint64)
+    rows = np.unique(np.array([[flipped(base[i % 60, 0], int(rng.integers(0, 8))), flipped(base[i % 60, 1], int(rng.integers(0, 26))), flipped(base[i % 60, 2], int(rng.integers(0, 26)))] for i in range(n)], np.uint64), axis=0)
+    monkeypatch.setattr(simhash_vp, "RESIDENTS", 64)
+    monkeypatch.setattr(simhash_vp, "VISITORS", 256)
+    ids = list(range(len(rows)))
+    nodes = spark.createDataFrame(pd.DataFrame(rows.view(np.int64), columns=how.key).assign(least=ids))
+    roots = simhash_vp.components(spark, simhash_vp.links(nodes, how)).toPandas()
+    got = dict(zip(roots.id, roots.root))
+    near = np.bitwise_count(rows[:, None, 0] ^ rows[None, :, 0]) <= how.distance
+    near &= np.bitwise_count(rows[:, None, 1:] ^ rows[None, :, 1:]).sum(2, dtype=int) <= how.far
+    want = {i: i for i in ids}
+    for i in ids:
+        todo = [i] if want[i] == i else []
+        while todo:
+            k = todo.pop()
+            for j in np.flatnonzero(near[k]).tolist():
+                if want[j] > i:
+                    want[j] = i
+                    todo.append(j)
+    assert {i: got.get(i, i) for i in ids} == want
+    assert 60 < len(set(want.values())) < len(ids)
+
+
+def test_filter_of_members_knows_all_of_them(spark):
+    ids = [7 * k * k - 50 for k in range(500)]
+    test = members(spark.createDataFrame([(i,) for i in ids], "x long"))
+    got = spark.range(-1000, 200_000).filter(test(F.col("id"))).toPandas().id
+    assert {i for i in ids if i < 200_000} <= set(got) and len(got) < 1.01 * len(ids) + 50
+    none = members(spark.createDataFrame([], "x long"))
+    assert spark.range(1000).filter(none(F.col("id"))).count() == 0
+
+
+def test_near_copies_against_brute_force(spark, sf_dir):
+    """The pipeline's scheme over whole documents: classes, and what stays."""
+    d = pd.read_parquet(f"{sf_dir}/documents.parquet")
+    marks = np.array([simhash_vp.words_and_sketch(t) for t in d.text], np.uint64)
+    how, ids = simhash_vp.FIVE_WORDS, d.doc_id.tolist()
+    up = {i: i for i in ids}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in range(len(ids)):
+        near = (np.bitwise_count(marks[a, 0] ^ marks[a + 1 :, 0]) <= how.distance) & (np.bitwise_count(marks[a, 1:] ^ marks[a + 1 :, 1:]).sum(1, dtype=int) <= how.far)
+        for b in (np.flatnonzero(near) + a + 1).tolist():
+            x, y = find(ids[a]), find(ids[b])
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = simhash_vp.near_duplicates(docs, how).toPandas().set_index("doc_id").component_id.to_dict()
+    assert got == {i: find(i) for i in ids}
+    assert sorted(r.doc_id for r in simhash_vp.keep_one(docs).select("doc_id").collect()) == sorted({find(i) for i in ids})
+
+
+def test_edited_copies_are_found():
+    """Copies with one word in twenty changed are near; texts of the same words in another order are not."""
+    rng, how = np.random.default_rng(3), simhash_vp.FIVE_WORDS
+    vocabulary, found, wrong = [f"w{k}" for k in range(3000)], 0, 0
+    near = lambda x, y: (x[0] ^ y[0]).bit_count() <= how.distance and sum((p ^ q).bit_count() for p, q in zip(x[1:], y[1:])) <= how.far
+    for _ in range(200):
+        text = rng.choice(vocabulary, 300).tolist()
+        copy = [w if rng.random() > 0.04 else str(rng.choice(vocabulary)) for w in text]
+        other = rng.permutation(text).tolist()
+        x = simhash_vp.words_and_sketch(" ".join(text))
+        found += near(x, simhash_vp.words_and_sketch(" ".join(copy)))
+        wrong += near(x, simhash_vp.words_and_sketch(" ".join(other)))
+    assert found >= 160 and wrong == 0
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(60)] + [(7, 7), (500, 300)]
     got = {r.id: r.root for r in simhash_vp.components(spark, spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -92,6 +174,9 @@ def test_simhash_odd_rows(spark):
     kept = simhash_vp.keep_one(d)
     assert kept.columns == d.columns and sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [1, 3, 6, 9]
     assert simhash_vp.near_duplicates(d.limit(0)).count() == 0
+    named = d.select("doc_id", "text", *[F.lit(k).alias(c) for k, c in enumerate(["_keep", "gone", "n", "least", "root", "id", "u", "v", "a", "band", "sketch_a"])])
+    again = simhash_vp.keep_one(named)
+    assert again.columns == named.columns and sorted(r.doc_id for r in again.filter("doc_id is not null").collect()) == [1, 3, 6, 9] and again.filter("doc_id is null").count() == 1
 
 
 def test_packing_query_is_whole(spark, sf_dir):
