@@ -10,7 +10,8 @@ occur inside a host name's parts, and the total over all counts. Up to HELD such
 every task; beyond, each name part is cut in Spark with its own words and joined back by host.
 
 Defined cases: a null url or one without ``://`` has empty host and path, no words, and the
-verdict of the class prior; null html adds nothing to the lexicon; without rule-decided urls of
+verdict of the class prior; null html adds nothing to the lexicon; tags that never end are text; a
+run of more than LONGEST letters in a host can't be a DNS label and is one word; without rule-decided urls of
 both classes every other url is allowed; repeated rows and ids are judged alike, each in its own
 row; an empty table gives an empty result; further columns are ignored.
 """
@@ -35,16 +36,18 @@ from .common import map_batches, written
 #: (rule, verdict); a rule is host and the start of the path.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 BITS = 16
-LONGEST = 20
+#: Letters of the longest word in a host: a DNS label has no more.
+LONGEST = 63
 #: Words of a task that are counted before they are passed on.
 FLUSH = 200_000
 #: Words that occur in host names which every task may hold.
 HELD = 200_000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_TAG = re.compile(r"<(?:script|style)\b.*?</(?:script|style)\s*>|<[^>]*>", re.S | re.I)
-_WORD = re.compile(r"[a-z]{2,20}")
-_PART = re.compile(r"[a-z]+|[0-9]+")
+_CODE = re.compile(r"(?:script|style)\b")
+_CODE_END = re.compile(r"</(?:script|style)\s*>")
+_WORD = re.compile(r"[^\W\d_]{2,}")
+_PART = re.compile(r"[^\W\d_]+|\d+")
 
 
 def split_url() -> tuple[F.Column, F.Column]:
@@ -80,6 +83,29 @@ class Rules:
         return (best[1], best[2]) if best else (None, None)
 
 
+def text_of(html: str) -> Iterator[str]:
+    """The stretches of lower-cased ``html`` between its tags, scripts and styles left out whole.
+
+    One pass: once an end is not found, none is looked for again.
+    """
+    at, closed, coded = 0, True, True
+    while True:
+        tag = html.find("<", at)
+        if tag < 0 or not closed:
+            yield html[at:]
+            return
+        yield html[at:tag]
+        if coded and _CODE.match(html, tag + 1):
+            end = _CODE_END.search(html, tag)
+            if end:
+                at = end.end()
+                continue
+            coded = False
+        end = html.find(">", tag)
+        closed = end >= 0
+        at = end + 1 if closed else tag
+
+
 def count_words(pages: DataFrame) -> DataFrame:
     """word, n over the texts of all pages; tasks pass on partial counts of bounded size."""
 
@@ -88,7 +114,8 @@ def count_words(pages: DataFrame) -> DataFrame:
         for b in batches:
             for html in b["html"]:
                 if html:
-                    counts.update(_WORD.findall(_TAG.sub(" ", html.lower())))
+                    for text in text_of(html.lower()):
+                        counts.update(_WORD.findall(text))
             if len(counts) > FLUSH:
                 yield {"word": list(counts), "n": list(counts.values())}
                 counts.clear()
@@ -119,6 +146,8 @@ class Segmenter:
     def split(self, name: str) -> tuple[str, ...]:
         if name in self.seen:
             return self.seen[name]
+        if len(name) > LONGEST:
+            return (name,)
         best, back = [0.0], [0]
         for i in range(1, len(name) + 1):
             score, j = max((best[j] + self.word(name[j:i]), -j) for j in range(max(0, i - LONGEST), i))
@@ -193,7 +222,7 @@ def inside(parts: DataFrame) -> DataFrame:
         for b in batches:
             out: dict[str, list] = {"part": [], "word": []}
             for p in b["part"]:
-                pieces = {p[i : i + n] for n in range(2, LONGEST + 1) for i in range(len(p) - n + 1)} | {p}
+                pieces = {p[i : i + n] for n in range(2, len(p) + 1) for i in range(len(p) - n + 1)} | {p} if len(p) <= LONGEST else {p}
                 out["part"] += [p] * len(pieces)
                 out["word"] += pieces
                 if len(out["word"]) > FLUSH:
