@@ -12,8 +12,8 @@ The prefix is found without sorting a leaf: hashes fall into ``BUCKETS`` equal r
 summed per leaf (partial sums first), whole ranges before the cut are taken, and only the range
 that holds the cut is ordered. So a leaf with a third of all rows is spread over all tasks.
 
-Defined cases: null text has 0 tokens and counts like any other document; null lang or source is
-the value ``?``; null doc_ids and repeated rows are documents of their own (equal rows get equal
+Defined cases: null text has 0 tokens and counts like any other document; a null lang or source is a
+node of its own, apart from every value; null doc_ids and repeated rows are documents of their own (equal rows get equal
 copies: a tie at the cut is taken or left as a whole); weights not listed are 1; an empty table
 gives an empty result; further columns are ignored by ``plan`` and kept by ``select``.
 """
@@ -88,9 +88,18 @@ def _filler(keys: list[str]):
     return fill
 
 
+def _node(name: F.Column) -> F.Column:
+    """A name as a key that is never null and keeps null apart from every value."""
+    return F.coalesce(F.concat(F.lit("="), name), F.lit("?"))
+
+
+def _name(node: F.Column) -> F.Column:
+    return F.when(node.startswith("="), F.substring(node, 2, 1 << 30))
+
+
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """Adds ``budget`` to the leaves: three levels of water filling, each parent in its own group."""
-    weight = lambda level: F.coalesce(F.create_map(*[F.lit(x) for kv in mix.weights[level].items() for x in kv])[F.col(level)], F.lit(1.0)) if mix.weights.get(level) else F.lit(1.0)
+    weight = lambda level: F.coalesce(F.create_map(*[F.lit(x) for kv in mix.weights[level].items() for x in kv])[_name(F.col(level))], F.lit(1.0)) if mix.weights.get(level) else F.lit(1.0)
     caps = leaves.withColumn("cap", F.col("tokens").cast("double") * mix.max_epochs)
     given = caps.agg((F.sum("tokens") * F.lit(mix.budget_share)).alias("given")).select(F.coalesce("given", F.lit(0.0)).alias("given"))
     above: list[str] = []
@@ -110,7 +119,7 @@ def _order(epoch: F.Column, seed: int, ident: F.Column) -> F.Column:
 
 
 def _leaf_of(docs: DataFrame) -> list[F.Column]:
-    return [domain_of(F.col("source")).alias("domain"), F.coalesce("lang", F.lit("?")).alias("lang"), F.coalesce("source", F.lit("?")).alias("source")]
+    return [_node(domain_of(F.col("source"))).alias("domain"), _node(F.col("lang")).alias("lang"), _node(F.col("source")).alias("source")]
 
 
 #: Leaves that may be broadcast; with more of them, documents meet their leaf by a shuffle.
@@ -160,7 +169,7 @@ def plan(docs: DataFrame, mix: Mix = PRODUCTION) -> DataFrame:
     """One row per document: its leaf, tokens, and how many ``copies`` the mix takes."""
     base = written(docs.select(F.col("doc_id").cast("long").alias("_id"), *_leaf_of(docs), tokens().alias("tokens")), "mix-tokens")
     marked = _with_leaf(base, leaf_cuts(base, mix))
-    return marked.select(F.col("_id").alias("doc_id"), *LEVELS, "tokens", _copies(mix, F.col("_id")).alias("copies"), "budget")
+    return marked.select(F.col("_id").alias("doc_id"), *[_name(F.col(c)).alias(c) for c in LEVELS], "tokens", _copies(mix, F.col("_id")).alias("copies"), "budget")
 
 
 def select(docs: DataFrame, mix: Mix = ONE_EPOCH) -> DataFrame:
@@ -175,14 +184,3 @@ def select(docs: DataFrame, mix: Mix = ONE_EPOCH) -> DataFrame:
     if mix.max_epochs > 1:
         got = got.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return got.select("_row.*")
-
-
-def prefix_tokens(rows: Iterator[tuple[int, int]], rest: float) -> list[int]:
-    """Reference for tests: ids of the longest prefix of (id, tokens) within ``rest``."""
-    out, total = [], 0
-    for i, n in rows:
-        total += n
-        if total > rest:
-            break
-        out.append(i)
-    return out
