@@ -197,11 +197,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def _long_word(a: np.ndarray, at: int, lut: np.ndarray) -> tuple[np.ndarray, int]:
+    """The sum that ``word_hashes`` mixes, of the word from ``at`` on, and where the word ends."""
+    total, end = 0, at
+    while end < len(a):
+        part = a[end : end + _SEG]
+        gaps = np.flatnonzero(lut[part])
+        n = int(gaps[0]) if len(gaps) else len(part)
+        total += pow(int(_R), end - at, 1 << 64) * int(((part[:n].astype(np.uint64) + np.uint64(1)) * _POW[:n]).sum(dtype=np.uint64))
+        end += n
+        if len(gaps):
+            break
+    return np.array([total & ((1 << 64) - 1)], np.uint64), end
+
+
 def word_hashes(data: bytes, alnum: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end byte of each word of ``data``.
 
     Words are runs of non-blank bytes, or of alphanumeric and non-ASCII ones. Long inputs are
-    handled in segments that end between words (a word over a quarter of a MB is cut).
+    handled in segments that end between words; a word longer than a segment is hashed by parts.
     """
     lut = _NOT_ALNUM if alnum else _BLANK
     a = np.frombuffer(data, np.uint8)
@@ -211,7 +225,14 @@ def word_hashes(data: bytes, alnum: bool = False) -> tuple[np.ndarray, np.ndarra
         to = min(len(a), at + _SEG)
         if to < len(a):
             gaps = np.flatnonzero(lut[a[at:to]])
-            to = at + int(gaps[-1]) + 1 if len(gaps) else to
+            if not len(gaps):
+                h, end = _long_word(a, at, lut)
+                hashes.append(mix(h))
+                starts.append(np.array([at]))
+                ends.append(np.array([end]))
+                at = end
+                continue
+            to = at + int(gaps[-1]) + 1
         seg = a[at:to]
         edge = np.diff(~lut[seg], prepend=False, append=False)
         bounds = np.flatnonzero(edge)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, fold, map_batches, mix, one_row, utf8, word_hashes, written
+from .common import bounded_sample, fold, map_batches, members, mix, one_row, utf8, word_hashes, written
 
 BITS = 18
 #: Pseudo-count of the Dirichlet prior, standard deviations taken off, and the drift.
@@ -204,8 +204,10 @@ def count_tokens(docs: DataFrame, labelled: DataFrame) -> tuple[np.ndarray, np.n
 
     schema = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("place", T.LongType()), T.StructField("n", T.LongType())])
     texts = docs.select(F.col("doc_id"), F.xxhash64("text").alias("_hash")).join(labelled, "doc_id")
-    once = texts.groupBy("_hash").agg(F.min("doc_id").alias("doc_id"), F.max("_label").alias("_label")).select("doc_id", "_label")
-    rows = map_batches(docs.select("doc_id", "text").join(once, "doc_id"), ["text", "_label"], run, schema)
+    once = written(texts.groupBy("_hash").agg(F.min("doc_id").cast("long").alias("doc_id"), F.max("_label").alias("_label")).select("doc_id", "_label"), "toxic-once")
+    # texts whose id is surely not among them stay where they are
+    labelled_texts = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & members(once.select("doc_id"))(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))))
+    rows = map_batches(labelled_texts.join(once, "doc_id"), ["text", "_label"], run, schema)
     counts = written(rows.groupBy("label", "place").agg(F.sum("n").alias("n")), "toxic-counts")
     sums = counts.filter(F.col("label") != _PAIRS).toPandas()  # at most 2 * 2**BITS rows
     out = [np.zeros(1 << BITS), np.zeros(1 << BITS)]
