@@ -295,6 +295,17 @@ def brute_fill(budget, weights, caps):
     return out
 
 
+def prefix_tokens(rows, rest):
+    """Ids of the longest prefix of (id, tokens) within ``rest``."""
+    out, total = [], 0
+    for i, n in rows:
+        total += n
+        if total > rest:
+            break
+        out.append(i)
+    return out
+
+
 def test_water_fill_against_small_steps():
     rng = np.random.default_rng(6)
     for _ in range(5):
@@ -328,7 +339,7 @@ def mix_by_hand(spark, base, mix):
         order["h"] = order.h.map(lambda h: h % (1 << 64))
         order = order.sort_values("h")
         rest = max(0.0, budget[leaf] - e * total)
-        inside = set(hier_mixing.prefix_tokens(zip(order["_id"], order.t), rest)) if rest > 0 else set()
+        inside = set(prefix_tokens(zip(order["_id"], order.t), rest)) if rest > 0 else set()
         out |= {i: e + (i in inside) for i in order["_id"]}
     return out
 
@@ -369,6 +380,32 @@ def test_search_against_brute_force(spark):
     assert voronoi_knn.search(d.filter("vec_id < 3")).count() == 2
 
 
+def test_search_with_many_rows_of_one_id_or_vector(spark):
+    rng = np.random.default_rng(9)
+    same = [0.5, -0.25, 0.125]
+    for rows in (
+        [(50, same)] * 6000,
+        [(50, same)] * 3000 + [(7, same)] * 3000,
+        [(i, same) for i in range(3000)],
+        [(i, same) for i in range(0, 500, 2)] + [(i, rng.normal(size=3).tolist()) for i in range(1, 500, 2)] + [(100, rng.normal(size=3).tolist())] * 9,
+    ):
+        got = voronoi_knn.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas()
+        data = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows]
+        want = []
+        for q in sorted({i for i, _ in rows if i % 50 == 0}):
+            v = min((x for i, x in data if i == q), key=lambda x: voronoi_knn.packed(x))
+            found = sorted((-int(v @ x), i) for i, x in data if i != q)[:5]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found)]
+        assert sorted(map(tuple, got[["query_id", "rank", "vec_id", "score"]].to_numpy().tolist())) == want
+
+
+def test_packed_vectors_of_any_size():
+    for top in (0, 1, -1, 2**15 - 1, -(2**15), 2**15, 2**31 - 1, -(2**31), 2**31, 2**62, -(2**62)):
+        a = np.array([0, top, -3], np.int64)
+        assert voronoi_knn.unpacked(voronoi_knn.packed(a)).tolist() == a.tolist()
+    assert voronoi_knn.matrix([voronoi_knn.packed(np.array([1, 2])), voronoi_knn.packed(np.array([2**40]))], 2).tolist() == [[1, 2], [2**40, 0]]
+
+
 def test_search_leaves_rows_out_and_stays_exact(spark, monkeypatch):
     monkeypatch.setattr(voronoi_knn, "BLOCK", 64)
     rng = np.random.default_rng(9)
@@ -415,6 +452,32 @@ def test_urls_against_brute_force(spark, sf_dir):
     assert url_filter.judge(d.limit(0)).count() == 0
 
 
+def test_pages_of_open_tags_take_linear_time():
+    for part in ("<script ", "<", "</script ", "<style><", "<!--", "<a href=x <script>"):
+        began = time.process_time()
+        html = part * (1_000_000 // len(part))
+        got = "".join(url_filter.text_of(html))
+        assert time.process_time() - began < 2 and (got == html or ">" in part)
+
+
+def test_text_between_tags():
+    read = lambda x: [w for t in url_filter.text_of(x) for w in t.split()]
+    assert read("a<b>c</b>d <script x>no > no</script >e<style>p{}</style\n>f<p") == ["a", "c", "d", "e", "f", "<p"]
+    assert read("x<scripted>y</script>z<script>open <i>t") == ["x", "y", "z", "open", "t"]
+    assert read("") == [] and read("plain") == ["plain"] and read("1 < 2 > 3") == ["1", "3"]
+
+
+def test_long_words_and_hosts(spark):
+    """Words past 20 letters and with accents count whole; a run past a DNS label's length is one word."""
+    word = "donaudampfschifffahrtsgesellschaft"
+    rows = [(1, f"http://{word}haus.com/en/1", f"<p>{word} haus stra\u00dfe</p>"), (2, "http://" + "q" * 1_000_000 + ".org/x", "caf\u00e9"), (3, "http://caf\u00e9haus.org/" + "p/" * 200_000, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for held in (url_filter.HELD, 1):
+        got = {r.page_id: r for r in url_filter.judge(pages, held=held).collect()}
+        assert got[1].words[:3] == ["d:com", f"h:{word}", "h:haus"]
+        assert got[2].words[:2] == ["d:org", "h:" + "q" * 1_000_000] and got[3].words[:3] == ["d:org", "h:caf\u00e9", "h:haus"]
+
+
 def test_segmentation_against_all_splits():
     counts = {"new": 50, "york": 30, "times": 40, "newy": 1, "ork": 1, "time": 35, "s": 5}
     cut = url_filter.Segmenter(counts)
@@ -453,11 +516,11 @@ def test_names_are_split_on_all_words(spark):
 
 
 def test_archive_round_trip(spark, tmp_path):
-    rows = [(1, "http://a/", "same"), (2, "http://b/\r\nX: y", "same"), (3, None, None), (4, "u", ""), (5, "é", "ünï " * 3), (None, "n", "same"), (None, "m", "alone"), (6, "r", "rep"), (6, "r2", "rep"), (7, "l", "x" * 200_000)]
+    rows = [(1, "http://a/", "same"), (2, "http://b/\r\nX: y", "same"), (3, None, None), (4, "u", ""), (5, "é", "ünï " * 3), (None, "n", "same"), (None, "m", "alone"), (6, "r", "rep"), (6, "r2", "rep"), (7, "l", "x" * 200_000), (8, "", "end\r\n\r\n"), (9, "http://l/" + "y" * 100_000, "\r\n\r\nWARC/1.1\r\n"), (10, "http://p/%0D%0A", "p")]
     d = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, header string")
     path = warc_cas.write(d, f"file://{tmp_path}/arc")
     got = warc_cas.read(spark, path)
-    assert spark.read.parquet(f"{path}/payloads").count() == 6
+    assert spark.read.parquet(f"{path}/payloads").count() == 9
     out = got.toPandas()
     assert out.verified.all() and len(out) == len(rows)
     html = {i: h or "" for i, _, h in rows}
@@ -467,22 +530,20 @@ def test_archive_round_trip(spark, tmp_path):
             last[h or ""] = max(i, last.get(h or "", 0))
     for r in out[out.page_id.notna()].itertuples():
         raw = html[r.page_id].encode()
-        assert bytes(r.payload) == raw and r.payload_bytes == len(raw) and r.payload_digest == base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        assert r.payload_bytes == len(raw) and r.payload_digest == base64.b32encode(hashlib.sha1(raw).digest()).decode()
         want = last[html[r.page_id]]
         assert (r.record_type, None if r.refers_to != r.refers_to else r.refers_to) == (("response", None) if want == r.page_id else ("revisit", want))
+        assert r.payload is None if r.record_type == "revisit" else bytes(r.payload) == raw
+    url = lambda x: (x is not None, x or "")
+    assert sorted(url(r.url) for r in out.itertuples()) == sorted(url(u) for _, u, _ in rows)
     named = {r.url: r for r in out[out.page_id.isna()].itertuples()}
     assert named["n"].refers_to == 2 and named["m"].record_type == "response"
-    warc_cas.export(got, f"file://{tmp_path}/files", per_file=3)
-    seen = []
-    for f in glob.glob(f"{tmp_path}/files/*.gz"):
-        data = gzip.open(f).read()
-        while data:
-            head, data = data.split(b"\r\n\r\n", 1)
-            n = int([x for x in head.split(b"\r\n") if x.startswith(b"Content-Length: ")][0].split()[1])
-            seen.append((head, data[:n]))
-            assert data[n : n + 4] == b"\r\n\r\n" and head.startswith(b"WARC/1.1\r\n")
-            data = data[n + 4 :]
-    assert len(seen) == len(rows) and sum(len(b) for _, b in seen) == sum(len(bytes(r.payload)) for r in out.itertuples() if r.record_type == "response")
+    warc_cas.export(spark, path, f"file://{tmp_path}/files", per_file=3)
+    seen = [x for f in glob.glob(f"{tmp_path}/files/*.gz") for x in warc_cas.parse_file(gzip.open(f).read())]
+    none = lambda x: None if x != x else x
+    assert sorted((x["header"], x["payload"], x["record_type"], *url(x["url"]), str(x["page_id"]), str(x["refers_to"]), x["payload_digest"]) for x in seen) == sorted((r.header, bytes(r.payload or b""), r.record_type, *url(r.url), str(none(r.page_id) and int(r.page_id)), str(none(r.refers_to) and int(r.refers_to)), r.payload_digest) for r in out.itertuples())
+    small = {r.page_id: r for r in warc_cas.archive(d, min_bytes=5).collect()}
+    assert small[1].record_type == "response" and bytes(small[1].payload) == b"same" and small[4].record_type == "response"
     assert warc_cas.archive(d.limit(0)).count() == 0
 
 

@@ -38,6 +38,15 @@ def test_word_hashes_agree_with_split():
     assert all(by[w] == x for w, x in zip(words, h.tolist()))
 
 
+def test_words_of_any_length_are_whole():
+    long = b"ab" * 400_000
+    data = b"x " + long + b" y " + long + b"c\n" + b"ab" + b" " + long
+    h, s, e = common.word_hashes(data)
+    assert [data[a:b] for a, b in zip(s, e)] == data.split() and h[1] == h[5] and len(set(h.tolist())) == 5
+    whole = b"z" * (common._SEG - 1)
+    assert common.word_hashes(whole + b" q")[0][0] == common.word_hashes(b"longer " + whole)[0][1] == common.word_hashes(b"a " * common._SEG + whole)[0][-1]
+
+
 def brute_measure(text):
     words = WORD.findall(text or "")
     windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
