@@ -19,13 +19,17 @@ def angle_deg(dx: Column, dy: Column) -> Column:
     return F.pmod(F.degrees(F.atan2(dy, dx)), F.lit(360.0))
 
 
+# Class names and edges of benchmark strata.
+
+
 def size_class(diameter_cm: Column) -> Column:
-    c = diameter_cm
-    return F.when(c.isNull(), "unknown").when(c < 20, "0-20").when(c < 40, "20-40").when(c < 80, "40-80").otherwise("80+")
+    c = finite(diameter_cm)
+    return F.when(c.isNull() | (c < 0), "unknown").when(c < 20, "under_20cm").when(c < 40, "20_40cm").when(c < 80, "40_80cm").otherwise("over_80cm")
 
 
-def coverage_class(c: Column) -> Column:
-    return F.when(c.isNull(), "unknown").when(c < 0.6, "low").when(c < 0.85, "partial").otherwise("full")
+def coverage_class(fraction: Column) -> Column:
+    c = finite(fraction)
+    return F.when(c.isNull() | (c < 0) | (c >= 1.01), "unknown").when(c < 0.6, "coverage_under_60").when(c < 0.85, "coverage_60_85").otherwise("coverage_over_85")
 
 
 def area_diameter(area: Column) -> Column:

@@ -150,9 +150,13 @@ def ransac(xy: np.ndarray, threshold: float = 0.01, trials: int = 500, min_inlie
     hyp = circumcircles(xy[rng.integers(0, len(xy), (trials, 3))])
     hyp = hyp[np.isfinite(hyp).all(1) & (hyp[:, 2] > 0.01) & (hyp[:, 2] < 2.0)]
     best, most = None, -1
+    mid = score.mean(0)
+    own, far2 = score - mid, ((score - mid) ** 2).sum(1)[:, None]
     for k in range(0, len(hyp), 64):
         part = hyp[k : k + 64]
-        hits = (np.abs(np.hypot(score[None, :, 0] - part[:, :1], score[None, :, 1] - part[:, 1:2]) - part[:, 2:]) <= threshold).sum(1)
+        c = part[:, :2] - mid
+        d2 = far2 + ((c * c).sum(1) - 2 * own @ c.T)  # squared distances by one product
+        hits = ((d2 <= (part[:, 2] + threshold) ** 2) & (d2 >= np.maximum(part[:, 2] - threshold, 0.0) ** 2)).sum(0)
         if hits.max() > most:
             best, most = part[int(hits.argmax())], int(hits.max())
     if best is None:

@@ -34,11 +34,11 @@ def stem_axis(xyz: np.ndarray, hag: np.ndarray, cfg, centre: tuple[float, float]
     """A straight axis through circle centres of height bins, searched three times around itself."""
     a = cfg.axis
     up = {"x": centre[0], "y": centre[1], "dx": 0.0, "dy": 0.0, "dz": 1.0, "tilt_deg": 0.0, "azimuth_deg": 0.0, "scatter_m": None, "n_bins": 0, "valid": False, "warnings": ["axis_not_estimated"]}
-    inside = (hag >= a.lower_m) & (hag <= a.upper_m)
+    inside = (hag >= a.lower_height_m) & (hag <= a.upper_height_m)
     p, h = xyz[inside], hag[inside]
     if len(p) < 2 * a.min_points_per_bin:
         return up
-    edges = np.linspace(a.lower_m, a.upper_m, a.n_bins + 1)
+    edges = np.linspace(a.lower_height_m, a.upper_height_m, a.n_bins + 1)
     slot = np.clip(np.digitize(h, edges) - 1, 0, a.n_bins - 1)
     target = cfg.slice.target_height_m
     origin, slope, found = np.array(centre, float), np.zeros(2), None

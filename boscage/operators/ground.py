@@ -1,7 +1,9 @@
 """Ground surface: lowest returns per cell, despiking, filling, smoothing, and its uses.
 
-The grid is a table of cells (ix, iy, z, observed, cnt). Windows are self-joins on shifted cell
-indices, so a landscape of any size stays distributed; a grid is small beside its points.
+The grid is a table of cells (ix, iy). The returns collapse to the lowest of each cell in one
+aggregate; the cells, few beside the points, are worked on by tiles: a tile holds TILE x TILE cells
+and sees HALO more on each side, so its arrays are bounded however large the landscape is. A cell
+whose nearest observed one may lie beyond its tile's view is filled by joins afterwards.
 """
 
 from __future__ import annotations
@@ -9,11 +11,17 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stem import huber_plane
+from ..session import checkpointed
+
+#: Cells of a tile's side, and how far a tile sees beyond it.
+TILE = 512
+HALO = 64
 
 
 @dataclass(frozen=True)
@@ -37,65 +45,172 @@ def lowest(points: DataFrame, g: Grid) -> DataFrame:
     return points.groupBy(at("x", g.x0, g.nx).alias("ix"), at("y", g.y0, g.ny).alias("iy")).agg(F.min("z").alias("z"), F.count("*").alias("cnt"))
 
 
-def dense(cells: DataFrame, g: Grid) -> DataFrame:
-    """All cells of the grid, empty ones with null z and count 0."""
-    spark = cells.sparkSession
-    every = spark.range(g.nx * g.ny).select((F.col("id") / g.ny).cast("int").alias("ix"), (F.col("id") % g.ny).cast("int").alias("iy"))
-    return every.join(cells, ["ix", "iy"], "left").withColumn("cnt", F.coalesce("cnt", F.lit(0)))
+def window_median(a: np.ndarray, radius: int) -> np.ndarray:
+    """Median over a square window, the edge cells repeated beyond the edge."""
+    wide, (n, m), side = np.pad(a, radius, mode="edge"), a.shape, 2 * radius + 1
+    return np.median(np.stack([wide[i : i + n, j : j + m] for i in range(side) for j in range(side)]), axis=0)
+
+
+def nearest(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and squared distance of the nearest true cell of each; ties go to the smaller
+    (row, column); without any true cell the distance is infinite.
+
+    Within a row the nearest is found by running maxima; then rows are tried outwards until no
+    farther row can be nearer.
+    """
+    n, m = seen.shape
+    col, far = np.arange(m), 4 * (n + m)
+    left = np.maximum.accumulate(np.where(seen, col, -far), axis=1)
+    right = np.minimum.accumulate(np.where(seen, col, m + far)[:, ::-1], axis=1)[:, ::-1]
+    at = np.where(col - left <= right - col, left, right)
+    gap = np.where(seen.any(1)[:, None], (at - col).astype(float) ** 2, np.inf)
+    row, column, best = np.repeat(np.arange(n)[:, None], m, 1), at.copy(), gap.copy()
+    for step in range(1, n):
+        if not (best >= step * step).any() or not len(at[seen]):
+            break
+        for own, other in ((slice(step, n), slice(0, n - step)), (slice(0, n - step), slice(step, n))):
+            d = gap[other] + step * step
+            rows = np.arange(n)[other][:, None]
+            better = (d < best[own]) | ((d == best[own]) & ((rows < row[own]) | ((rows == row[own]) & (at[other] < column[own]))))
+            best[own] = np.where(better, d, best[own])
+            row[own], column[own] = np.where(better, rows, row[own]), np.where(better, at[other], column[own])
+    return row, column, best
+
+
+CELLS = "ix int, iy int, low double, cnt long, med double, spike boolean, observed boolean, filled double, z double"
+
+
+def _tiled(cells: DataFrame, g: Grid, halo: int, kept: list[str]) -> DataFrame:
+    """Each tile's cells and those within ``halo`` of it, under (tx, ty); every tile has a row."""
+    span = lambda c, n: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - halo) / TILE).cast("int")), F.least(F.lit((n - 1) // TILE), F.floor((F.col(c) + halo) / TILE).cast("int"))))
+    seen = cells.select(span("ix", g.nx).alias("tx"), "ix", "iy", *kept).select("tx", span("iy", g.ny).alias("ty"), "ix", "iy", *kept)
+    across = (g.ny - 1) // TILE + 1
+    every = cells.sparkSession.range(((g.nx - 1) // TILE + 1) * across).select(F.floor(F.col("id") / across).cast("int").alias("tx"), (F.col("id") % across).cast("int").alias("ty"))
+    return seen.unionByName(every, allowMissingColumns=True)
+
 
+def _view(pdf: pd.DataFrame, g: Grid, halo: int) -> tuple[slice, slice, int, int, pd.DataFrame]:
+    """The tile's own range of rows and columns, the corner of what it sees, and the cells seen."""
+    tx, ty = int(pdf["tx"].iloc[0]), int(pdf["ty"].iloc[0])
+    i, j = slice(tx * TILE, min(g.nx, (tx + 1) * TILE)), slice(ty * TILE, min(g.ny, (ty + 1) * TILE))
+    return i, j, max(0, i.start - halo), max(0, j.start - halo), pdf[pdf["ix"].notna()]
 
-def window_median(cells: DataFrame, g: Grid, radius: int, value: str) -> DataFrame:
-    """Median of ``value`` over a square window, the edge cells repeated beyond the edge."""
-    offs = F.sequence(F.lit(-radius), F.lit(radius))
-    ask = cells.select("ix", "iy").withColumn("_a", F.explode(offs)).withColumn("_b", F.explode(offs))
-    clip = lambda c, n: F.greatest(F.lit(0), F.least(c, F.lit(n - 1)))
-    ask = ask.select(F.col("ix"), F.col("iy"), clip(F.col("ix") + F.col("_a"), g.nx).alias("jx"), clip(F.col("iy") + F.col("_b"), g.ny).alias("jy"))
-    near = cells.select(F.col("ix").alias("jx"), F.col("iy").alias("jy"), F.col(value).alias("_v"))
-    return ask.join(near, ["jx", "jy"]).groupBy("ix", "iy").agg(F.median("_v").alias("med"))
 
+def _smoothed(filled: np.ndarray, observed: np.ndarray, passes: int) -> np.ndarray:
+    """Observed cells keep half of their own value."""
+    s = filled
+    for _ in range(passes):
+        s = window_median(s, 1)
+    return np.where(observed, 0.5 * filled + 0.5 * s, s)
+
+
+def _emit(i: slice, j: slice, values: dict[str, np.ndarray]) -> pd.DataFrame:
+    ix, iy = np.meshgrid(np.arange(i.start, i.stop), np.arange(j.start, j.stop), indexing="ij")
+    return pd.DataFrame({"ix": ix.ravel().astype(np.int32), "iy": iy.ravel().astype(np.int32)} | {c: v.ravel() for c, v in values.items()})
 
-def despike(cells: DataFrame, g: Grid, radius: int, tolerance: float) -> DataFrame:
-    """Dense cells with the window's median and whether the cell is a spike (too low)."""
-    full = dense(cells, g)
-    top = cells.agg(F.max("z").alias("_top"))
-    full = full.join(F.broadcast(top)).withColumn("_f", F.coalesce("z", "_top"))  # one row
-    out = full.join(window_median(full, g, radius, "_f"), ["ix", "iy"])
-    return out.withColumn("spike", F.col("z").isNotNull() & (F.col("_f") < F.col("med") - tolerance)).withColumn("observed", F.col("z").isNotNull() & ~F.col("spike")).drop("_f", "_top")
 
+def raster(cells: DataFrame, g: Grid, radius: int = 2, tolerance: float = 0.35, passes: int = 2) -> DataFrame:
+    """All cells of the grid with every step's result (CELLS), stored.
 
-def fill(cells: DataFrame, g: Grid) -> DataFrame:
-    """Unobserved cells take the nearest observed z; ties go to the smaller (ix, iy).
+    ``low``: lowest return; ``med``: the window's median, where empty cells count as the highest
+    low; ``spike``: too far below it; ``observed``: has returns and is no spike; ``filled``: own or
+    the nearest observed low, ties to the smaller (ix, iy); ``z``: smoothed. Without returns ``filled``
+    and ``z`` are null everywhere.
+    """
+    cells = checkpointed(cells)
+    top = cells.agg(F.max("z")).first()[0]
+    halo = max(HALO, radius + passes + 1)
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j, i0, j0, seen = _view(pdf, g, halo)
+        i1, j1 = min(g.nx, i.stop + halo), min(g.ny, j.stop + halo)
+        low, cnt = np.full((i1 - i0, j1 - j0), np.nan), np.zeros((i1 - i0, j1 - j0), np.int64)
+        at = seen["ix"].to_numpy(np.int64) - i0, seen["iy"].to_numpy(np.int64) - j0
+        low[at], cnt[at] = seen["z"].to_numpy(float), seen["cnt"].to_numpy(np.int64)
+        f = np.where(np.isnan(low), np.nan if top is None else top, low)
+        med = window_median(f, radius)
+        spike = ~np.isnan(low) & (f < med - tolerance)
+        observed = ~np.isnan(low) & ~spike
+        # a window that reaches past the view is not whole, so sources end before it; what lies
+        # there is at least ``reach`` away
+        n, m = low.shape
+        cut = [radius if i0 > 0 else 0, radius if i1 < g.nx else 0, radius if j0 > 0 else 0, radius if j1 < g.ny else 0]
+        source = np.zeros_like(observed)
+        inner = slice(cut[0], n - cut[1]), slice(cut[2], m - cut[3])
+        source[inner] = observed[inner]
+        far = 4.0 * (g.nx + g.ny)
+        a, b = np.arange(n)[:, None], np.arange(m)[None]
+        reach = np.minimum(np.minimum(a - cut[0] + 1 if i0 > 0 else far, n - cut[1] - a if i1 < g.nx else far), np.minimum(b - cut[2] + 1 if j0 > 0 else far, m - cut[3] - b if j1 < g.ny else far))
+        row, column, d2 = nearest(source)
+        known = np.isfinite(d2) & (np.sqrt(d2) < reach)
+        filled = np.where(known, low[np.clip(row, 0, n - 1), np.clip(column, 0, m - 1)], np.nan)
+        own = slice(i.start - i0, i.stop - i0), slice(j.start - j0, j.stop - j0)
+        z = _smoothed(filled, observed, passes)
+        return _emit(i, j, {"low": low[own], "cnt": cnt[own], "med": med[own], "spike": spike[own], "observed": observed[own], "filled": filled[own], "z": z[own]})
+
+    out = checkpointed(_tiled(cells, g, halo, ["z", "cnt"]).groupBy("tx", "ty").applyInPandas(tile, CELLS))
+    if top is None or not out.filter("filled is null").limit(1).count():
+        return out
+    return _completed(out, g, passes)
+
+
+def _completed(out: DataFrame, g: Grid, passes: int) -> DataFrame:
+    """Fills what no tile could, and smooths again where that changes something.
 
     The search looks into blocks of ``reach`` cells around a cell and keeps what is surely nearest
-    (within reach); cells without an answer search again with twice the reach.
+    (within reach); cells without an answer search again with twice the reach. Every pass is stored.
     """
-    cells = cells.persist()  # the search below reads them once per reach
-    seen = cells.filter("observed").select(F.col("ix").alias("ox"), F.col("iy").alias("oy"), F.col("z").alias("oz"))
-    todo, reach, found = cells.filter("not observed").select("ix", "iy"), 4, None
-    limit = 2 * max(g.nx, g.ny)
+    seen = out.filter("observed").select(F.col("ix").alias("ox"), F.col("iy").alias("oy"), F.col("low").alias("oz"))
+    todo, reach, found = out.filter("filled is null").select("ix", "iy"), HALO, None
     while True:
         block = lambda c, w=reach: F.floor(F.col(c) / w)
         offs = F.sequence(F.lit(-1), F.lit(1))
         ask = todo.withColumn("_a", F.explode(offs)).withColumn("_b", F.explode(offs)).select("ix", "iy", (block("ix") + F.col("_a")).alias("_i"), (block("iy") + F.col("_b")).alias("_j"))
         near = ask.join(seen.withColumn("_i", block("ox")).withColumn("_j", block("oy")), ["_i", "_j"])
         d2 = (F.col("ix") - F.col("ox")) ** 2 + (F.col("iy") - F.col("oy")) ** 2
-        best = near.withColumn("_d", d2).filter(F.col("_d") <= reach * reach).groupBy("ix", "iy").agg(F.min_by("oz", F.struct("_d", "ox", "oy")).alias("filled"))
+        best = checkpointed(near.withColumn("_d", d2).filter(F.col("_d") <= reach * reach).groupBy("ix", "iy").agg(F.min_by("oz", F.struct("_d", "ox", "oy")).alias("_far")))
         found = best if found is None else found.unionByName(best)
-        todo = todo.join(best.select("ix", "iy"), ["ix", "iy"], "left_anti")
-        if reach >= limit or not todo.limit(1).count():
+        todo = checkpointed(todo.join(best.select("ix", "iy"), ["ix", "iy"], "left_anti"))
+        if reach >= 2 * max(g.nx, g.ny) or not todo.limit(1).count():
             break
         reach *= 2
-    return cells.join(found, ["ix", "iy"], "left").withColumn("filled", F.when(F.col("observed"), F.col("z")).otherwise(F.col("filled")))
+    whole = checkpointed(out.join(found, ["ix", "iy"], "left").withColumn("filled", F.coalesce("filled", "_far")).drop("_far"))
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j, i0, j0, near = _view(pdf, g, passes)
+        shape = min(g.nx, i.stop + passes) - i0, min(g.ny, j.stop + passes) - j0
+        filled, observed = np.full(shape, np.nan), np.zeros(shape, bool)
+        at = near["ix"].to_numpy(np.int64) - i0, near["iy"].to_numpy(np.int64) - j0
+        filled[at], observed[at] = near["filled"].to_numpy(float), near["observed"].to_numpy(bool)
+        own = slice(i.start - i0, i.stop - i0), slice(j.start - j0, j.stop - j0)
+        return _emit(i, j, {"_z": _smoothed(filled, observed, passes)[own]})
+
+    again = _tiled(whole, g, passes, ["filled", "observed"]).groupBy("tx", "ty").applyInPandas(tile, "ix int, iy int, _z double")
+    return checkpointed(whole.join(again, ["ix", "iy"], "left").withColumn("z", F.col("_z")).drop("_z"))
 
 
 def surface(points: DataFrame, g: Grid, radius: int = 2, tolerance: float = 0.35, passes: int = 2) -> DataFrame:
-    """The ground: despiked, filled, smoothed; observed cells keep half of their own value."""
-    cells = fill(despike(lowest(points, g), g, radius, tolerance), g).select("ix", "iy", "cnt", "observed", "filled")
-    smooth = cells.select("ix", "iy", F.col("filled").alias("s"))
-    for _ in range(passes):
-        smooth = window_median(smooth, g, 1, "s").withColumnRenamed("med", "s")
-    z = F.when(F.col("observed"), 0.5 * F.col("filled") + 0.5 * F.col("s")).otherwise(F.col("s"))
-    return cells.join(smooth, ["ix", "iy"]).select("ix", "iy", z.alias("z"), "observed", "cnt")
+    """The ground (ix, iy, z, observed, cnt): despiked, filled, smoothed; stored once."""
+    return raster(lowest(points, g), g, radius, tolerance, passes).select("ix", "iy", "z", "observed", "cnt")
+
+
+def corners(cells: DataFrame, g: Grid) -> DataFrame:
+    """z00, z10, z01 and z11 of each cell: its own z and its next neighbours', repeated at the edge.
+
+    A cell hands its z to the cells whose corner it is, so one aggregate replaces three joins.
+    """
+    i, j = F.col("ix"), F.col("iy")
+    parts = []
+    for name, a, b in (("z00", 0, 0), ("z10", 1, 0), ("z01", 0, 1), ("z11", 1, 1)):
+        for last_i in (False, True) if a else (False,):
+            for last_j in (False, True) if b else (False,):
+                to_i, to_j = i - (a if not last_i else 0), j - (b if not last_j else 0)
+                ok = (to_i >= 0) & (to_j >= 0)
+                ok = ok & (i == g.nx - 1) if last_i else ok
+                ok = ok & (j == g.ny - 1) if last_j else ok
+                parts.append(F.when(ok, F.struct(to_i.cast("int").alias("ix"), to_j.cast("int").alias("iy"), F.lit(name).alias("corner"), F.col("z").alias("z"))))
+    given = cells.select(F.explode(F.array_compact(F.array(*parts))).alias("c")).select("c.*")
+    return given.groupBy("ix", "iy").agg(*[F.max(F.when(F.col("corner") == c, F.col("z"))).alias(c) for c in ("z00", "z10", "z01", "z11")])
 
 
 def elevation(points: DataFrame, cells: DataFrame, g: Grid, out: str = "ground_z") -> DataFrame:
@@ -103,11 +218,7 @@ def elevation(points: DataFrame, cells: DataFrame, g: Grid, out: str = "ground_z
 
     Corners beyond the edge repeat it; unknown corners drop out of the weights.
     """
-    corner = cells.select("ix", "iy", "z")
-    q = corner.select("ix", "iy", F.col("z").alias("z00"))
-    for name, a, b in (("z10", 1, 0), ("z01", 0, 1), ("z11", 1, 1)):
-        ask = q.withColumn("_x", F.least(F.col("ix") + a, F.lit(g.nx - 1))).withColumn("_y", F.least(F.col("iy") + b, F.lit(g.ny - 1)))
-        q = ask.join(corner.select(F.col("ix").alias("_x"), F.col("iy").alias("_y"), F.col("z").alias(name)), ["_x", "_y"], "left").drop("_x", "_y")
+    q = corners(cells, g)
     fx = F.greatest(F.lit(0.0), F.least((F.col("x") - g.x0) / g.cell - 0.5, F.lit(g.nx - 1.0)))
     fy = F.greatest(F.lit(0.0), F.least((F.col("y") - g.y0) / g.cell - 0.5, F.lit(g.ny - 1.0)))
     p = points.withColumn("_fx", fx).withColumn("_fy", fy).withColumn("ix", F.floor("_fx").cast("int")).withColumn("iy", F.floor("_fy").cast("int"))

@@ -7,11 +7,14 @@ profiles, comparison, verdict, headline - is relational over long tables.
 
 from __future__ import annotations
 
+import json
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import PROVISIONAL, RunConfig
+from ..config import CALIBRATION, CONVENTION, PROVISIONAL, RunConfig
 from ..functions import fits, stem
 from ..functions.columns import cm
 from ..session import checkpointed
@@ -19,20 +22,30 @@ from .sections import crop_many, horizontal_sections, profile
 
 FITS = "tree_id string, geometry string, height_m double, model string, definition string, diameter_m double, cx double, cy double, rmse_m double, median_abs_residual_m double, max_abs_residual_m double, point_count int, inlier_count int, inlier_fraction double, angular_coverage double, largest_gap_deg double, n_arcs int, bootstrap_std_m double, valid boolean, warnings array<string>, major_m double, minor_m double, rotation_deg double, area_m2 double, perimeter_m double, hull_perimeter_m double, convexity_deficit double, roughness_m double, sector_radius array<double>, sector_occupied array<boolean>, seed_x double, seed_y double, tilt_deg double, azimuth_deg double, axis_valid boolean, tree_warnings array<string>, section_points int, outlier_fraction double, outside double, spread_cover double, excess double, lobes int, above double, thick double"
 
-#: Only points this close in plan and in these heights enter a tree's group.
+#: The largest search radius.
 MAX_RADIUS_M = 1.5
-LOW_M, HIGH_M = 0.6, 2.6
+
+
+def height_range(cfg: RunConfig, roi: float) -> tuple[float, float]:
+    """Heights that a tree's numerics can touch: the axis's, the sections', and how far a section
+    across a stem of the largest tilt reaches up and down."""
+    s, a = cfg.slice, cfg.axis
+    heights = [s.target_height_m, *s.supporting_heights_m]
+    lean = roi * math.sin(math.radians(min(90.0, a.max_tilt_deg))) if a.enabled else 0.0
+    low, high = min(heights) - s.thickness_m / 2 - lean, max(heights) + s.thickness_m / 2 + lean
+    return (min(low, a.lower_height_m), max(high, a.upper_height_m)) if a.enabled else (low, high)
 
 
 def fit_trees(points: DataFrame, targets: DataFrame, cfg: RunConfig | None = None, roi: float = 1.0) -> DataFrame:
     """Long table of fits (FITS) of every target with points.
 
     ``targets``: tree_id, cx, cy, ground_z. Points are sorted within a tree before any seeded
-    draw, so results don't depend on partitions.
+    draw, so results don't depend on partitions. A radius over MAX_RADIUS_M is refused.
     """
     cfg = cfg or RunConfig()
-    roi = min(roi, MAX_RADIUS_M)
-    near = crop_many(points.select("x", "y", "z"), targets, roi).filter((F.col("z") - F.col("ground_z")).between(LOW_M, HIGH_M))
+    if not 0 < roi <= MAX_RADIUS_M:
+        raise ValueError(f"the search radius must be positive and at most {MAX_RADIUS_M} m, not {roi}")
+    near = crop_many(points.select("x", "y", "z"), targets, roi).filter((F.col("z") - F.col("ground_z")).between(*height_range(cfg, roi)))
     names = [c.split()[0] for c in FITS.split(", ")]
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -69,6 +82,26 @@ def fit_trees(points: DataFrame, targets: DataFrame, cfg: RunConfig | None = Non
     return near.groupBy("tree_id").applyInPandas(tree, FITS)
 
 
+#: The columns of FITS that one section's fits have.
+SECTION_FITS = FITS[FITS.index("model string") : FITS.index(", seed_x")]
+
+
+def fit_sections(points: DataFrame, cfg: RunConfig | None = None, with_bootstrap: bool = False) -> DataFrame:
+    """Every model of every section (section_id, u, v), without trees around them."""
+    cfg = cfg or RunConfig()
+    names = [c.split()[0] for c in SECTION_FITS.split(", ")]
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        xy = pdf.sort_values(["u", "v"])[["u", "v"]].to_numpy(float)
+        out = pd.DataFrame([{k: r.get(k) for k in names} for r in fits.fit_all(xy, cfg, with_bootstrap)])
+        out.insert(0, "section_id", pdf["section_id"].iloc[0])
+        for c in ("inlier_count", "n_arcs"):
+            out[c] = out[c].astype("Int32")
+        return out
+
+    return points.select("section_id", "u", "v").groupBy("section_id").applyInPandas(one, "section_id long, " + SECTION_FITS)
+
+
 def anomaly_verdict(d) -> F.Column:
     """CLEAN, CONTAMINATION_SUSPECTED, IRREGULAR_SHAPE, AMBIGUOUS or NO_ROBUST_FIT from the evidence."""
     one_sided = F.col("outside") >= d.contamination_outside_fraction_min
@@ -169,6 +202,15 @@ def verdict(e: DataFrame, cfg: RunConfig | None = None) -> DataFrame:
     return e.withColumn("status", status).withColumn("confidence_band", band).withColumn("report_diameter", ~stopped & ~F.col("_height")).withColumn("selected_model", F.when(~F.col("_height") | stopped, F.col("recommended"))).withColumn("review_state", F.lit("PENDING")).withColumn("reasons", F.array_distinct(reasons)).drop("_hard", "_height")
 
 
+def provenance(cfg: RunConfig, source: str | None = None) -> F.Column:
+    """What made a measurement: software, settings, which of them are provisional, and the
+    convention; ``source`` describes the input as JSON."""
+    from .. import __version__
+
+    text = lambda x: F.lit(json.dumps(x, sort_keys=True))
+    return F.struct(F.lit("boscage").alias("software"), F.lit(__version__).alias("version"), F.lit(cfg.to_json()).alias("config"), F.array(*[F.lit(p) for p in PROVISIONAL]).alias("provisional_parameters"), text(CONVENTION).alias("measurement_convention"), F.lit(CALIBRATION).alias("calibration_status"), F.lit(source or "{}").alias("source"))
+
+
 def measurements(found: DataFrame, targets: DataFrame, cfg: RunConfig | None = None) -> DataFrame:
     """One row per target: headline diameter or none, verdict, evidence, diameter variants."""
     cfg = cfg or RunConfig()
@@ -206,34 +248,34 @@ def measurements(found: DataFrame, targets: DataFrame, cfg: RunConfig | None = N
     e = targets.select("tree_id", "ground_z", known("ground_quality", F.lit("GOOD")), known("ground_slope_deg", none), known("ground_roughness_m", none)).join(e, "tree_id", "left")
     e = e.withColumn("models", F.coalesce("models", F.array().cast("array<string>"))).withColumn("n_points", F.coalesce("n_points", F.lit(0))).withColumn("anomaly", F.coalesce("anomaly", F.lit("NO_ROBUST_FIT"))).withColumn("ellipticity", F.coalesce("ellipticity", F.lit("NO_ELLIPSE_FIT"))).withColumn("height_problem", F.abs("taper") > d.buttress_taper_threshold_per_m)
     v = verdict(e, cfg)
-    chosen = main.select("tree_id", "geometry", F.col("model").alias("selected_model"), F.col("diameter_m").alias("single"), F.col("rmse_m").alias("sel_rmse"), "inlier_fraction", F.col("bootstrap_std_m").alias("sel_bootstrap"))
+    chosen = main.select("tree_id", "geometry", F.col("model").alias("selected_model"), F.col("diameter_m").alias("single"), F.col("rmse_m").alias("sel_rmse"), "inlier_fraction", F.col("bootstrap_std_m").alias("sel_bootstrap"), F.col("angular_coverage").alias("sel_coverage"), F.col("largest_gap_deg").alias("sel_gap"), F.col("point_count").alias("sel_points"))
     v = v.join(chosen, ["tree_id", "geometry", "selected_model"], "left")
+    chosen = chosen.select("tree_id", "geometry", "selected_model", "single")
     other = chosen.filter(F.col("geometry") == "stem_normal").select("tree_id", "selected_model", F.col("single").alias("normal"))
     level = chosen.filter(F.col("geometry") == "horizontal").select("tree_id", "selected_model", F.col("single").alias("level"))
     v = v.join(other, ["tree_id", "selected_model"], "left").join(level, ["tree_id", "selected_model"], "left")
     source = {"single_slice": "single", "profile_median": "median", "taper_interpolated": "interpolated"}[d.primary_dbh_source]
-    return v.withColumn("dbh_m", F.when(F.col("report_diameter"), F.coalesce(F.col(source), F.col("single")))).withColumn("dbh_source", F.lit(d.primary_dbh_source)).withColumn("selection_is_recommendation", F.lit(not d.automatic_selection)).withColumn("provenance", F.struct(F.lit(cfg.to_json()).alias("config"), F.array(*[F.lit(p) for p in PROVISIONAL]).alias("uncalibrated")))
+    return v.withColumn("dbh_m", F.when(F.col("report_diameter"), F.coalesce(F.col(source), F.col("single")))).withColumn("dbh_source", F.lit(d.primary_dbh_source)).withColumn("selection_is_recommendation", F.lit(not d.automatic_selection)).withColumn("provenance", provenance(cfg))
 
 
 def export(m: DataFrame, cfg: RunConfig | None = None) -> DataFrame:
     """The flat export: centimetres with three decimals, in the documented column order."""
     cfg = cfg or RunConfig()
-    text = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), ";")
+    text = lambda c: F.array_join(F.coalesce(c, F.array().cast("array<string>")), "; ")
     return m.select(
-        "tree_id", "x", "y", cm(F.col("dbh_m")).alias("dbh_cm"), "status", "confidence_band", "review_state", "selected_model", "selection_is_recommendation", "dbh_source",
-        F.col("geometry").alias("primary_geometry"), F.lit(cfg.slice.target_height_m).alias("measurement_height_m"), F.col("ground_z").alias("ground_z_m"), "ground_quality", "ground_slope_deg", cm(F.col("ground_roughness_m")).alias("ground_roughness_cm"),
-        F.col("tilt_deg").alias("stem_tilt_deg"), F.col("azimuth_deg").alias("stem_azimuth_deg"), F.col("best_coverage").alias("coverage_fraction"), F.col("least_gap").alias("largest_gap_deg"),
+        "tree_id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), cm(F.col("dbh_m")).alias("dbh_cm"), "status", "confidence_band", "review_state", "selected_model", "selection_is_recommendation", "dbh_source",
+        F.col("geometry").alias("primary_geometry"), F.lit(cfg.slice.target_height_m).alias("measurement_height_m"), F.round("ground_z", 4).alias("ground_z_m"), "ground_quality", F.round("ground_slope_deg", 2).alias("ground_slope_deg"), cm(F.col("ground_roughness_m")).alias("ground_roughness_cm"),
+        F.round("tilt_deg", 2).alias("stem_tilt_deg"), F.round("azimuth_deg", 1).alias("stem_azimuth_deg"), F.col("sel_coverage").alias("coverage_fraction"), F.col("sel_gap").alias("largest_gap_deg"),
         cm(F.col("sel_rmse")).alias("rmse_cm"), "inlier_fraction", cm(F.col("sel_bootstrap")).alias("bootstrap_std_cm"), cm(F.col("cross_std_m")).alias("cross_height_std_cm"), cm(F.col("disagreement_m")).alias("model_disagreement_cm"),
         F.col("ellipticity").alias("ellipticity_verdict"), F.col("ratio").alias("axis_ratio"), F.col("anomaly").alias("radial_anomaly_verdict"), "outlier_fraction", cm(F.col("cleaning_shift_m")).alias("outline_cleaning_shift_cm"),
         cm(F.col("single")).alias("dbh_single_slice_cm"), cm(F.col("median")).alias("dbh_profile_median_cm"), cm(F.col("interpolated")).alias("dbh_taper_interpolated_cm"), cm(F.col("normal")).alias("dbh_stem_normal_cm"), cm(F.col("level") - F.col("normal")).alias("horizontal_minus_stem_normal_cm"),
-        F.col("n_points").alias("n_points_section"), F.lit("uncalibrated").alias("calibration_status"), text(F.col("warnings")).alias("warnings"), text(F.col("reasons")).alias("reasons"),
+        F.col("sel_points").alias("n_points_section"), F.lit(CALIBRATION).alias("calibration_status"), text(F.col("warnings")).alias("warnings"), text(F.col("reasons")).alias("reasons"),
     )
 
 
 def measure(points: DataFrame, targets: DataFrame, cfg: RunConfig | None = None, roi: float = 1.0) -> DataFrame:
     """Points and targets to measurements; the fits are computed once."""
-    found = fit_trees(points, targets, cfg, roi).persist()
-    return measurements(found, targets, cfg)
+    return measurements(checkpointed(fit_trees(points, targets, cfg, roi)), targets, cfg)
 
 
 def candidates(points: DataFrame, cell: float = 0.05, least: int = 150, band: tuple[float, float] = (1.2, 1.4), heights: tuple[float, ...] = (0.6, 1.0, 1.8, 2.6), reach: float = 0.5, share: float = 0.75) -> DataFrame:
@@ -258,16 +300,30 @@ def candidates(points: DataFrame, cell: float = 0.05, least: int = 150, band: tu
     c = c.join(found, "label", "left")
     broken = F.coalesce(F.col("_share") < share, F.lit(False))
     c = c.withColumn("reasons", F.when(broken, F.array_append("reasons", F.lit("not_continuous"))).otherwise(F.col("reasons"))).withColumn("accepted", F.col("_share").isNotNull() & ~broken).withColumn("continuity", F.coalesce("_share", F.lit(0.0))).drop("_share")
-    return c.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("accepted"), F.desc("n_points"), "label")))
+    return ranked(c, [F.desc("accepted"), F.desc("n_points"), F.asc("label")])
+
+
+def ranked(table: DataFrame, order: list[F.Column], name: str = "rank") -> DataFrame:
+    """Adds each row's place, from 1, in the whole order. The order is dealt to tasks by ranges, so
+    a task numbers its own rows and only the tasks' counts meet."""
+    own = checkpointed(table.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    task = F.shiftright("_at", 33)
+    before, begins = 0, []
+    for r in sorted(own.groupBy(task.alias("task")).agg(F.count("*").alias("n")).collect()):  # a row per task
+        begins.append((r["task"], before))
+        before += r["n"]
+    begin = table.sparkSession.createDataFrame(begins, "_task long, _before long")
+    placed = own.join(F.broadcast(begin), task == F.col("_task"))
+    return placed.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_task", "_before")
 
 
 def label_cells(occ: DataFrame) -> DataFrame:
     """(ix, iy, label) with one label per 8-connected cluster: its smallest (ix, iy) as text."""
     offs = F.sequence(F.lit(-1), F.lit(1))
     ident = lambda a, b: F.shiftleft(F.col(a) + F.lit(1 << 30), 31) + (F.col(b) + F.lit(1 << 30))
-    cells = occ.select("ix", "iy", ident("ix", "iy").alias("id")).persist()
+    cells = checkpointed(occ.select("ix", "iy", ident("ix", "iy").alias("id")))
     near = cells.select("id", F.col("ix").alias("ax"), F.col("iy").alias("ay")).withColumn("_a", F.explode(offs)).withColumn("_b", F.explode(offs)).select("id", (F.col("ax") + F.col("_a")).alias("ix"), (F.col("ay") + F.col("_b")).alias("iy"))
-    edges = near.join(cells.select("ix", "iy", F.col("id").alias("other")), ["ix", "iy"]).select("id", "other").persist()
+    edges = checkpointed(near.join(cells.select("ix", "iy", F.col("id").alias("other")), ["ix", "iy"]).select("id", "other"))
     label = cells.select("id", F.col("id").alias("label"))
     before = None
     while True:

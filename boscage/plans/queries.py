@@ -109,12 +109,12 @@ def ground_cells(spark, sf):
 
 @query(CELLS + "SELECT ix, iy, round(med, 6) + 0.0 AS med, spike, observed FROM spikes")
 def ground_despike(spark, sf):
-    return rounded(gr.despike(_cells(spark, sf), GRID, 2, 0.35).select("ix", "iy", "med", "spike", "observed"))
+    return rounded(gr.raster(_cells(spark, sf), GRID, 2, 0.35).select("ix", "iy", "med", "spike", "observed"))
 
 
 @query(CELLS + "SELECT ix, iy, round(filled, 6) + 0.0 AS filled, observed FROM filled")
 def ground_fill(spark, sf):
-    return rounded(gr.fill(gr.despike(_cells(spark, sf), GRID, 2, 0.35), GRID).select("ix", "iy", "filled", "observed"))
+    return rounded(gr.raster(_cells(spark, sf), GRID, 2, 0.35).select("ix", "iy", "filled", "observed"))
 
 
 @query(CELLS + "SELECT ix, iy, round(z, 6) + 0.0 AS z, observed, cnt FROM surf")
@@ -423,7 +423,7 @@ def _reference(spark, sf):
     return r.unionByName(spark.createDataFrame([(90, 30.0, "round", "tape")], "tree_id int, field_cm double, shape string, method string"))
 
 
-@query(MEASURED + """, j AS (SELECT m.*, field_cm, shape, CASE WHEN field_cm < 20 THEN '0-20' WHEN field_cm < 40 THEN '20-40' WHEN field_cm < 80 THEN '40-80' ELSE '80+' END AS size, CASE WHEN coverage < 0.6 THEN 'low' WHEN coverage < 0.85 THEN 'partial' ELSE 'full' END AS coverage_class, dbh_cm - field_cm AS e FROM meas m JOIN ref USING (t))
+@query(MEASURED + """, j AS (SELECT m.*, field_cm, shape, CASE WHEN field_cm < 20 THEN 'under_20cm' WHEN field_cm < 40 THEN '20_40cm' WHEN field_cm < 80 THEN '40_80cm' ELSE 'over_80cm' END AS size, CASE WHEN coverage < 0.6 THEN 'coverage_under_60' WHEN coverage < 0.85 THEN 'coverage_60_85' ELSE 'coverage_over_85' END AS coverage_class, dbh_cm - field_cm AS e FROM meas m JOIN ref USING (t))
 SELECT CASE grouping_id(status, shape, size, coverage_class, band) WHEN 15 THEN 'status' WHEN 23 THEN 'shape' WHEN 27 THEN 'size' WHEN 29 THEN 'coverage_class' WHEN 30 THEN 'band' ELSE 'overall' END AS stratum, coalesce(status, shape, size, coverage_class, band, 'all') AS grp, count(*) AS n_matched, count(e) AS n_reported, count(*) - count(e) AS n_refused, round((count(*) - count(e)) / count(*)::DOUBLE, 6) AS review_rate,
 round(avg(e), 5) + 0.0 AS bias_cm, round(avg(abs(e)), 5) AS mae_cm, round(sqrt(avg(e * e)), 5) AS rmse_cm, round(100 * sqrt(avg(e * e)) / avg(field_cm) FILTER (e IS NOT NULL), 5) AS relative_rmse_percent, round(max(abs(e)), 5) AS max_abs_cm FROM j GROUP BY GROUPING SETS ((status), (shape), (size), (coverage_class), (band), ())""")
 def benchmark_metrics(spark, sf):
@@ -437,12 +437,61 @@ def benchmark_unmatched(spark, sf):
     return rv.unmatched(_reference(spark, sf), _measured(spark, sf))
 
 
-@query(MEASURED + OUTLINE + """SELECT t AS tree_id, method, CASE WHEN dbh_cm IS NULL THEN NULL WHEN method IN ('tape', 'girth') AND perimeter IS NOT NULL THEN 'outline_perimeter' WHEN method IN ('tape', 'girth') THEN 'reported_dbh_fallback_for_perimeter' WHEN method = 'caliper_crossed' THEN 'reported_dbh_fallback_for_mean_axes' ELSE 'reported_dbh' END AS comparator,
-round(CASE WHEN dbh_cm IS NULL THEN NULL WHEN method IN ('tape', 'girth') THEN coalesce(perimeter / pi(), dbh_cm / 100) ELSE dbh_cm / 100 END, 6) AS comparator_m FROM meas JOIN ref USING (t) LEFT JOIN ring USING (t)""")
+SHAPES = """WITH shape AS (
+  SELECT n_nationkey AS k, 0.10 + 0.01 * n_nationkey::DOUBLE AS a, CASE WHEN n_nationkey % 3 = 2 THEN 0.8::DOUBLE ELSE 1 END * (0.10 + 0.01 * n_nationkey::DOUBLE) AS b, CAST(n_nationkey % 3 AS INTEGER) AS kind, n_nationkey % 6 <> 5 AS reported,
+    CASE n_nationkey % 7 WHEN 0 THEN 'tape' WHEN 1 THEN 'girth' WHEN 2 THEN 'caliper_crossed' WHEN 3 THEN 'caliper' WHEN 4 THEN 'caliper_single' WHEN 5 THEN 'unknown' ELSE '' END AS method FROM nation)
+"""
+
+
+def _shapes(spark, sf):
+    """Sections without noise: whole circles, arcs of 120 degrees, ellipses turned by 30 degrees."""
+    k, c = F.col("n_nationkey"), F.col
+    how = F.coalesce(*[F.when(k % 7 == i, m) for i, m in enumerate(("tape", "girth", "caliper_crossed", "caliper", "caliper_single", "unknown"))], F.lit(""))
+    n = spark.read.parquet(f"{sf}/nation.parquet").select(k.cast("long").alias("section_id"), (0.10 + 0.01 * k).alias("a"), (k % 3).cast("int").alias("kind"), (k % 6 != 5).alias("reported"), how.alias("method"))
+    return n.withColumn("b", F.when(c("kind") == 2, 0.8).otherwise(1.0) * c("a"))
+
+
+def _shape_fits(spark, sf, with_bootstrap=False):
+    c = F.col
+    p = _shapes(spark, sf).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(719))))
+    turn = F.radians(F.when(c("kind") == 1, (c("i") + 0.5) / 6).otherwise((c("i") + 0.5) / 2))
+    x, y, w = c("a") * F.cos(turn), c("b") * F.sin(turn), F.radians(F.when(c("kind") == 2, 30.0).otherwise(0.0))
+    p = p.select("section_id", (c("section_id") / 8 + x * F.cos(w) - y * F.sin(w)).alias("u"), (x * F.sin(w) + y * F.cos(w) - c("section_id") / 4).alias("v"))
+    return me.fit_sections(p, RunConfig(), with_bootstrap)
+
+
+@query(SHAPES + """, m AS (SELECT unnest(['circle_algebraic', 'circle_taubin', 'circle_pratt', 'circle_geometric', 'circle_ransac', 'ellipse', 'outline_radial_median', 'outline_radial_median_inliers']) AS model)
+SELECT k AS section_id, model, round(2 * sqrt(a * b), 6) AS d, round(k / 8.0::DOUBLE, 6) + 0.0 AS cx, round(-k / 4.0::DOUBLE, 6) + 0.0 AS cy, 0.0::DOUBLE AS rmse, kind <> 1 OR starts_with(model, 'circle') AS valid, CASE WHEN kind = 1 THEN 24 / 72.0::DOUBLE ELSE 1 END AS coverage, CASE WHEN kind = 1 THEN 240.0::DOUBLE ELSE 0 END AS gap, 1 AS arcs,
+  CASE WHEN model = 'ellipse' AND kind = 2 THEN round(2 * a, 6) END AS major, CASE WHEN model = 'ellipse' AND kind = 2 THEN round(2 * b, 6) END AS minor, CASE WHEN model = 'ellipse' AND kind = 2 THEN 30.0::DOUBLE END AS rotation,
+  CASE WHEN model = 'circle_ransac' THEN 720 END AS inliers, CASE WHEN model IN ('circle_taubin', 'circle_geometric', 'circle_ransac') OR (model = 'ellipse' AND kind <> 1) THEN 0.0::DOUBLE END AS bootstrap_std
+FROM shape, m WHERE kind <> 2 OR model = 'ellipse'""")
+def exact_shapes(spark, sf):
+    """All models on sections of known shape; of an oval only the ellipse has a closed form."""
+    f = _shape_fits(spark, sf, True).join(_shapes(spark, sf).select("section_id", "kind"), "section_id").filter("kind <> 2 or model = 'ellipse'")
+    oval = (F.col("model") == "ellipse") & (F.col("kind") == 2)
+    return f.select("section_id", "model", r6("diameter_m", "d"), r6("cx"), r6("cy"), r6("rmse_m", "rmse"), "valid", F.col("angular_coverage").alias("coverage"), F.col("largest_gap_deg").alias("gap"), F.col("n_arcs").alias("arcs"), r6(F.when(oval, F.col("major_m")), "major"), r6(F.when(oval, F.col("minor_m")), "minor"), r6(F.when(oval, F.col("rotation_deg")), "rotation"), F.col("inlier_count").alias("inliers"), r6("bootstrap_std_m", "bootstrap_std"))
+
+
+@query(SHAPES + """SELECT k AS tree_id, method, CASE WHEN NOT reported THEN NULL WHEN method IN ('tape', 'girth') THEN CASE WHEN kind = 1 THEN 'reported_dbh_fallback_for_diameter_convex_perimeter_equiv_m' ELSE 'outline_radial_median.diameter_convex_perimeter_equiv_m' END
+  WHEN method IN ('caliper', 'caliper_crossed') THEN CASE WHEN kind = 1 THEN 'reported_dbh_fallback_for_diameter_mean_axes_m' ELSE 'ellipse.diameter_mean_axes_m' END ELSE 'reported_dbh' END AS comparator,
+CASE WHEN NOT reported THEN NULL WHEN method IN ('tape', 'girth') AND kind = 0 THEN round(144 * a * sin(pi() / 72) / pi(), 6) WHEN method IN ('caliper', 'caliper_crossed') AND kind <> 1 THEN round(a + b, 6) ELSE round(2 * a, 6) END AS comparator_m
+FROM shape WHERE NOT (kind = 2 AND method IN ('tape', 'girth') AND reported)""")
 def comparator_select(spark, sf):
-    m = _measured(spark, sf).join(_reference(spark, sf), "tree_id").join(_ring(spark, sf).select("t", perimeter_diameter(F.col("perimeter")).alias("perimeter_d")), "t", "left")
-    m = m.withColumn("dbh_m", F.col("dbh_cm") / 100).withColumn("inlier_perimeter_d", F.lit(None).cast("double")).withColumn("mean_axes_d", F.lit(None).cast("double"))
-    return rounded(rv.select_comparator(m).select("tree_id", "method", "comparator", "comparator_m"))
+    """Each field method against what the models of exact sections give; arcs have neither a valid
+    outline nor a valid ellipse. (A taped oval has no closed form and is left out.)"""
+    f = _shape_fits(spark, sf).filter("valid")
+    pick = lambda model, c: F.max(F.when(F.col("model") == model, c))
+    hull = perimeter_diameter(F.col("hull_perimeter_m"))
+    shapes = f.groupBy(F.col("section_id").alias("tree_id")).agg(pick("outline_radial_median", hull).alias("perimeter_d"), pick("outline_radial_median_inliers", hull).alias("inlier_perimeter_d"), pick("ellipse", (F.col("major_m") + F.col("minor_m")) / 2).alias("mean_axes_d"))
+    m = _shapes(spark, sf).filter("not (kind = 2 and method in ('tape', 'girth') and reported)").select(F.col("section_id").alias("tree_id"), "method", F.when(F.col("reported"), 2 * F.col("a")).alias("dbh_m"))
+    return rounded(rv.select_comparator(m.join(shapes, "tree_id", "left")).select("tree_id", "method", "comparator", "comparator_m"))
+
+
+@query(SHAPES + """, c AS (SELECT CASE WHEN NOT reported THEN NULL WHEN method IN ('tape', 'girth') THEN 'reported_dbh_fallback_for_diameter_convex_perimeter_equiv_m' WHEN method IN ('caliper', 'caliper_crossed') THEN 'ellipse.diameter_mean_axes_m' ELSE 'reported_dbh' END AS comparator FROM shape)
+SELECT comparator, count(*) AS n, coalesce(starts_with(comparator, 'reported_dbh_fallback_for_'), FALSE) AS fallback FROM c GROUP BY comparator""")
+def comparator_counts(spark, sf):
+    m = _shapes(spark, sf).select("method", F.when(F.col("reported"), 2 * F.col("a")).alias("dbh_m"), F.lit(float("nan")).alias("perimeter_d"), F.lit(None).cast("double").alias("inlier_perimeter_d"), (F.col("a") + F.col("b")).alias("mean_axes_d"))
+    return rv.comparator_counts(rv.select_comparator(m))
 
 
 SWEEP = ", vals AS (SELECT unnest([0.04, 0.06, 0.1, 0.2])::DOUBLE AS value), sw AS (SELECT t, value, u, v FROM stem JOIN vals ON abs(h - 1.3::DOUBLE) <= value / 2 + 1e-9::DOUBLE)" + moment_sql("sw", "t, value")
@@ -465,7 +514,7 @@ def sweep_sensitivity(spark, sf):
 
 
 @query(PROFILE + """, st AS (SELECT t, 'single_slice' AS strategy, d FROM dia WHERE height_m = 1.3 UNION ALL SELECT t, 'profile_median', median(d) FROM dia GROUP BY t UNION ALL SELECT t, 'taper_interpolated', regr_intercept(d, height_m - 1.3::DOUBLE) FROM dia GROUP BY t),
-md AS (SELECT *, d - median(d) OVER (PARTITION BY t) AS dev FROM st) SELECT strategy, count(*) AS n, round(avg(dev), 6) + 0.0 AS mean_dev, round(median(dev), 6) + 0.0 AS median_dev, round(max(abs(dev)), 6) AS max_abs_dev FROM md GROUP BY strategy""")
+md AS (SELECT *, d - median(d) OVER (PARTITION BY t) AS dev FROM st) SELECT strategy, count(*) AS n, round(avg(dev), 6) + 0.0 AS mean_dev, round(median(dev), 6) + 0.0 AS median_dev, round(stddev_samp(dev), 6) AS std_dev, round(max(abs(dev)), 6) AS max_abs_dev FROM md GROUP BY strategy""")
 def height_strategy(spark, sf):
     d = _by_height(spark, sf)
     p = se.profile(d, ["t"])
@@ -473,17 +522,75 @@ def height_strategy(spark, sf):
     return rounded(rv.deviation_by(t, "t", "strategy"))
 
 
-@query(MODELS + ", md AS (SELECT *, d - median(d) OVER (PARTITION BY t) AS dev FROM models) SELECT model, count(*) AS n, round(avg(dev), 6) + 0.0 AS mean_dev, round(median(dev), 6) + 0.0 AS median_dev, round(max(abs(dev)), 6) AS max_abs_dev FROM md GROUP BY model")
+@query(MODELS + ", md AS (SELECT *, d - median(d) OVER (PARTITION BY t) AS dev FROM models) SELECT model, count(*) AS n, round(avg(dev), 6) + 0.0 AS mean_dev, round(median(dev), 6) + 0.0 AS median_dev, round(stddev_samp(dev), 6) AS std_dev, round(max(abs(dev)), 6) AS max_abs_dev FROM md GROUP BY model")
 def model_agreement(spark, sf):
     return rounded(rv.deviation_by(_models(spark, sf), "t", "model"))
 
 
-@query(NORMAL + ", npt AS (SELECT t, p AS u, q AS v FROM normal WHERE height_m = 1.3)" + moment_sql("npt", "t").replace("mean_", "mean_n").replace("cen AS", "cen_n AS").replace("FROM cen ", "FROM cen_n ").replace("mom AS", "mom_n AS").replace("FROM mom ", "FROM mom_n ").replace("kc AS", "kc_n AS").replace("FROM kc)", "FROM kc_n)").replace("kasa AS", "kasa_n AS") + KASA + "SELECT t, round(2 * k.r, 6) AS horizontal_d, round(2 * n.r, 6) AS normal_d, round(2 * k.r - 2 * n.r, 6) + 0.0 AS difference FROM kasa k JOIN kasa_n n USING (t)")
+GEOMETRY = NORMAL + ", npt AS (SELECT t, p AS u, q AS v FROM normal WHERE height_m = 1.3)" + moment_sql("npt", "t").replace("mean_", "mean_n").replace("cen AS", "cen_n AS").replace("FROM cen ", "FROM cen_n ").replace("mom AS", "mom_n AS").replace("FROM mom ", "FROM mom_n ").replace("kc AS", "kc_n AS").replace("FROM kc)", "FROM kc_n)").replace("kasa AS", "kasa_n AS") + KASA
+
+
+@query(GEOMETRY + f"SELECT t, round(2 * k.r, 6) AS horizontal_d, round(2 * n.r, 6) AS normal_d, round(2 * k.r - 2 * n.r, 6) + 0.0 AS difference, round(CASE WHEN t % 4 = 1 THEN k.r * (1 / cos(radians({scene.TILT_DEG!r}::DOUBLE)) - 1) ELSE 0 END, 6) AS expected FROM kasa k JOIN kasa_n n USING (t)")
 def geometry_comparison(spark, sf):
+    return rounded(_differences(spark, sf).drop("tilt_deg"))
+
+
+@query(GEOMETRY + ", dif AS (SELECT 2 * k.r - 2 * n.r AS d FROM kasa k JOIN kasa_n n USING (t)) SELECT count(*) AS n, round(avg(d), 6) + 0.0 AS mean, round(median(d), 6) + 0.0 AS median, round(stddev_samp(d), 6) AS std, min(d) > 0 OR max(d) < 0 AS sign_consistent FROM dif")
+def geometry_summary(spark, sf):
+    return rounded(rv.geometry_summary(_differences(spark, sf)))
+
+
+def _differences(spark, sf):
     a = se.kasa(_slab(spark, sf), ["t"]).select("t", (2 * F.col("r")).alias("horizontal_d"))
     n = _normal(spark, sf).filter("height_m = 1.3D").select("t", F.col("p").alias("u"), F.col("q").alias("v"))
     b = se.kasa(n, ["t"]).select("t", (2 * F.col("r")).alias("normal_d"))
-    return rounded(a.join(b, "t").withColumn("difference", F.col("horizontal_d") - F.col("normal_d")))
+    return rv.geometry_differences(a.join(b, "t").withColumn("tilt_deg", F.when(F.col("t") % 4 == 1, scene.TILT_DEG).otherwise(0.0)))
+
+
+@query(MODELS + ", df AS (SELECT a.model, a.d - b.d AS dev FROM models a JOIN models b ON a.t = b.t AND a.model <> b.model AND b.model = 'circle_taubin') SELECT model, count(*) AS n, round(avg(dev), 6) + 0.0 AS mean_dev, round(median(dev), 6) + 0.0 AS median_dev, round(stddev_samp(dev), 6) AS std_dev, round(max(abs(dev)), 6) AS max_abs_dev FROM df GROUP BY model")
+def model_difference(spark, sf):
+    return rounded(rv.difference_from(_models(spark, sf), "t", "model", "circle_taubin"))
+
+
+SPLIT = MEASURED + ", j AS (SELECT m.*, t % 2 = 0 AS dev, dbh_cm - field_cm AS e FROM meas m JOIN ref USING (t))"
+
+
+@query(SPLIT + "SELECT s.split, count(*) AS n_matched, count(e) AS n_reported, round(avg(e), 5) + 0.0 AS bias_cm, round(sqrt(avg(e * e)), 5) AS rmse_cm FROM j, (SELECT unnest(['all', 'dev', 'holdout']) AS split) s WHERE s.split = 'all' OR (s.split = 'dev') = dev GROUP BY s.split")
+def benchmark_splits(spark, sf):
+    m = _measured(spark, sf).select("tree_id", "status", "band", "coverage", F.col("dbh_cm").alias("predicted_cm"))
+    j = m.join(_reference(spark, sf), "tree_id").withColumn("split", F.when(F.col("tree_id") % 2 == 0, "dev").otherwise("holdout"))
+    return rv.splits(j).filter("stratum = 'overall'").select("split", "n_matched", "n_reported", *[(F.round(c, 5) + 0.0).alias(c) for c in ("bias_cm", "rmse_cm")])
+
+
+@query(", n AS (SELECT unnest([36, 72, 144]) AS n), sect AS (SELECT t, n, least(CAST(floor(((degrees(atan2(v, u)) + 360) % 360) / (360.0::DOUBLE / n)) AS INTEGER), n - 1) AS sector, sqrt(u * u + v * v) AS rad FROM slab, n), sec AS (SELECT t, n, sector, median(rad) AS rad FROM sect GROUP BY ALL HAVING count(*) >= 3), own AS (SELECT t, n, sum(rad * rad) * pi() / n AS area FROM sec GROUP BY t, n HAVING count(*) = n) SELECT n AS value, count(*) AS n, round(median(2 * sqrt(area / pi())), 6) AS median FROM own GROUP BY own.n")
+def sweep_outline_sectors(spark, sf):
+    """The outline's diameter at 36, 72 and 144 sectors, over the trees whose sectors are all occupied."""
+    parts = [se.outline(se.sector_radii(_slab(spark, sf), _centres(spark, sf), ["t"], n), ["t"], n).select(F.lit(n).alias("value"), area_diameter(F.col("area")).alias("d")) for n in (36, 72, 144)]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("value").agg(F.count("*").alias("n"), F.median("d").alias("median")))
+
+
+@query(KASA + ", w AS (SELECT unnest([2.0, 5.0, 10.0])::DOUBLE AS w), bins AS (SELECT DISTINCT t, w, least(CAST(floor(((degrees(atan2(v, u)) + 360) % 360) / w) AS INTEGER), CAST(360 / w AS INTEGER) - 1) AS bin FROM slab, w), runs AS (SELECT t, w, bin, coalesce(lead(bin) OVER (PARTITION BY t, w ORDER BY bin), min(bin) OVER (PARTITION BY t, w) + CAST(360 / w AS INTEGER)) - bin - 1 AS gap FROM bins) SELECT w AS value, t, count(*) / (360 / w) AS coverage, CAST(max(gap) * w AS DOUBLE) AS largest_gap FROM runs GROUP BY t, w")
+def sweep_coverage_bin(spark, sf):
+    parts = [se.coverage(_slab(spark, sf), _centres(spark, sf), ["t"], w).select(F.lit(w).alias("value"), "t", "coverage", "largest_gap") for w in (2.0, 5.0, 10.0)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(CELLS + ", tol AS (SELECT unnest([0.15, 0.35, 0.75])::DOUBLE AS value) SELECT value, count(*) FILTER (z IS NOT NULL AND f < med - value) AS spikes, count(*) FILTER (z IS NOT NULL AND NOT f < med - value) AS observed FROM dense JOIN med USING (ix, iy), tol GROUP BY value")
+def sweep_ground_despike(spark, sf):
+    from functools import reduce
+
+    low = _cells(spark, sf)
+    parts = [gr.raster(low, GRID, 2, v).agg(F.lit(v).alias("value"), F.count_if("spike").alias("spikes"), F.count_if("observed").alias("observed")) for v in (0.15, 0.35, 0.75)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(", size AS (SELECT unnest([0.25, 0.5, 1.0])::DOUBLE AS c), lowest AS (SELECT c, least(CAST(trunc((x + 3) / c) AS INTEGER), CAST(ceil(30 / c) AS INTEGER)) AS ix, least(CAST(trunc((y + 3) / c) AS INTEGER), CAST(ceil(24 / c) AS INTEGER)) AS iy, min(z) AS z, count(*) AS n FROM ground, size GROUP BY 1, 2, 3) SELECT c AS value, count(*) AS cells, sum(n)::BIGINT AS returns, round(avg(z), 6) + 0.0 AS mean_low FROM lowest GROUP BY c")
+def sweep_ground_cell(spark, sf):
+    from functools import reduce
+
+    g = scene.ground(spark, sf)
+    parts = [gr.lowest(g, gr.Grid.over(-3.0, 27.0, -3.0, 21.0, c)).agg(F.lit(c).alias("value"), F.count("*").alias("cells"), F.sum("cnt").alias("returns"), F.avg("z").alias("mean_low")) for c in (0.25, 0.5, 1.0)]
+    return rounded(reduce(DataFrame.unionByName, parts))
 
 
 DECIDED = MEASURED + """, dec AS (SELECT o_orderkey % 20 AS t, CASE o_orderkey % 4 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'APPROVED' WHEN 2 THEN 'REJECTED' ELSE 'OVERRIDDEN' END AS state, CASE WHEN o_orderkey % 4 = 3 THEN 25.5 + o_orderkey % 7 END AS override_cm, o_orderkey AS decided_at, CASE WHEN o_orderkey % 3 = 0 THEN 'REVIEW_REQUIRED' ELSE 'ACCEPTED_CIRCULAR' END AS tool_status FROM orders WHERE o_orderkey % 20 <> 7),
@@ -573,15 +680,50 @@ def bootstrap_std(spark, sf):
     return _fits(spark, sf).filter(F.col("bootstrap_std_m").isNotNull()).select("tree_id", "geometry", "model", "bootstrap_std_m")
 
 
-@query()
+CANDIDATES = (SQL + """, near AS (SELECT CAST(floor((cx + u) / 0.1::DOUBLE) AS BIGINT) AS ix, CAST(floor((cy + v) / 0.1::DOUBLE) AS BIGINT) AS iy, cx + u AS x, cy + v AS y, h FROM stem),
+band AS (SELECT * FROM near WHERE h BETWEEN 1.2::DOUBLE AND 1.4::DOUBLE),
+ids AS (SELECT DISTINCT ix, iy, (ix + 1073741824) * 2147483648 + iy + 1073741824 AS id FROM band),
+reach AS (SELECT id, id AS root, ix, iy FROM ids UNION SELECT b.id, r.root, b.ix, b.iy FROM reach r JOIN ids b ON abs(r.ix - b.ix) <= 1 AND abs(r.iy - b.iy) <= 1 WHERE r.root < b.id),
+lab AS (SELECT ix, iy, min(root) AS label FROM reach GROUP BY ix, iy),
+cl AS (SELECT label, count(*) AS n_points, median(x) AS cx, median(y) AS cy, max(x) - min(x) AS ex, max(y) - min(y) AS ey FROM band JOIN lab USING (ix, iy) GROUP BY label),
+gate AS (SELECT *, n_points < 100 AS few, greatest(ex, ey) < 0.08 OR greatest(ex, ey) > 2 AS odd, greatest(ex, ey) > 3 * greatest(least(ex, ey), 1e-6) AS long FROM cl),
+hit AS (SELECT label, hh, count(*) AS n FROM gate g JOIN near p ON NOT (few OR odd OR long) AND abs(p.x - g.cx) <= 0.5 AND abs(p.y - g.cy) <= 0.5, (SELECT unnest([0.9, 1.1, 1.7, 2.1])::DOUBLE AS hh) WHERE abs(h - hh) <= (1.4::DOUBLE - 1.2::DOUBLE) / 2 + 1e-9::DOUBLE GROUP BY 1, 2 HAVING count(*) >= 20),
+sh AS (SELECT g.*, CASE WHEN few OR odd OR long THEN NULL ELSE (SELECT count(*) FROM hit WHERE hit.label = g.label) / 4.0::DOUBLE END AS share FROM gate g),
+fin AS (SELECT *, share IS NOT NULL AND share >= 0.75 AS accepted FROM sh)
+SELECT label, n_points, round(cx, 6) + 0.0 AS cx, round(cy, 6) + 0.0 AS cy, round(ex, 6) AS ex, round(ey, 6) AS ey, concat_ws(';', CASE WHEN few THEN 'too_few_points' END, CASE WHEN odd THEN 'implausible_extent' END, CASE WHEN long THEN 'elongated' END, CASE WHEN share < 0.75 THEN 'not_continuous' END) AS reasons, coalesce(share, 0) AS continuity, accepted, row_number() OVER (ORDER BY accepted DESC, n_points DESC, label) AS rank FROM fin""").replace("WITH stem0", "WITH RECURSIVE stem0", 1)
+
+
+@query(CANDIDATES)
 def candidates(spark, sf):
     # the scene's returns lie from 0.8 to 2.2 m
-    return me.candidates(scene.stems(spark, sf), cell=0.1, least=100, heights=(0.9, 1.1, 1.7, 2.1))
+    c = me.candidates(scene.stems(spark, sf), cell=0.1, least=100, heights=(0.9, 1.1, 1.7, 2.1))
+    return rounded(c.withColumn("reasons", F.array_join("reasons", ";")), "continuity")
 
 
-@query()
+def _huber_sql(steps: int = 5) -> str:
+    """Reweighted least squares of a plane, one set of CTEs a step; a weight counts squared."""
+    out = ", h0 AS (SELECT t, a, b, z, 1::DOUBLE AS w FROM pl)"
+    for k in range(1, steps + 1):
+        out += f""", n{k}h AS (SELECT t, sum(w*w*a*a) AS aa, sum(w*w*a*b) AS ab, sum(w*w*b*b) AS bb, sum(w*w*a) AS sa, sum(w*w*b) AS sb, sum(w*w) AS s1, sum(w*w*a*z) AS az, sum(w*w*b*z) AS bz, sum(w*w*z) AS sz FROM h{k - 1} GROUP BY t),
+d{k}h AS (SELECT *, aa * (bb * s1 - sb * sb) - ab * (ab * s1 - sb * sa) + sa * (ab * sb - bb * sa) AS det FROM n{k}h),
+c{k}h AS (SELECT t, (az * (bb * s1 - sb * sb) - ab * (bz * s1 - sb * sz) + sa * (bz * sb - bb * sz)) / det AS p, (aa * (bz * s1 - sb * sz) - az * (ab * s1 - sb * sa) + sa * (ab * sz - bz * sa)) / det AS q, (aa * (bb * sz - bz * sb) - ab * (ab * sz - bz * sa) + az * (ab * sb - bb * sa)) / det AS c FROM d{k}h),
+e{k}h AS (SELECT h.t, a, b, z, z - (p * a + q * b + c) AS e FROM h{k - 1} h JOIN c{k}h USING (t)),
+m{k}h AS (SELECT t, median(e) AS mid FROM e{k}h GROUP BY t), s{k}h AS (SELECT t, greatest(1e-6, 1.4826::DOUBLE * median(abs(e - mid))) AS s, 1.4826::DOUBLE * median(abs(e - mid)) AS spread FROM e{k}h JOIN m{k}h USING (t) GROUP BY t),
+h{k} AS (SELECT t, a, b, z, least(1, 1.345::DOUBLE * s / greatest(abs(e), 1e-12)) AS w FROM e{k}h JOIN s{k}h USING (t))"""
+    return out
+
+
+GROUND = CELLS + """, sq AS (SELECT t, -3 + (ix + 0.5::DOUBLE) * 0.5 - cx AS a, -3 + (iy + 0.5::DOUBLE) * 0.5 - cy AS b, z, observed FROM target JOIN surf ON ix BETWEEN greatest(0, CAST(trunc((cx + 3) / 0.5 - 0.5) AS INTEGER) - 4) AND least(60, CAST(trunc((cx + 3) / 0.5 - 0.5) AS INTEGER) + 4) AND iy BETWEEN greatest(0, CAST(trunc((cy + 3) / 0.5 - 0.5) AS INTEGER) - 4) AND least(48, CAST(trunc((cy + 3) / 0.5 - 0.5) AS INTEGER) + 4)),
+frac AS (SELECT t, avg(observed::INT) AS observed_fraction FROM sq GROUP BY t), pl AS (SELECT t, a, b, z FROM sq WHERE a * a + b * b <= 4), cnt AS (SELECT t, count(*) AS n_cells FROM pl GROUP BY t)""" + _huber_sql() + """,
+gv AS (SELECT t, cx, cy, n_cells, observed_fraction, c, degrees(atan(sqrt(p * p + q * q))) AS slope, (degrees(atan2(-p, -q)) + 360) % 360 AS aspect, spread FROM target JOIN cnt USING (t) JOIN frac USING (t) JOIN c5h USING (t) JOIN s5h USING (t)),
+gw AS (SELECT *, concat_ws(';', CASE WHEN n_cells < 40 THEN 'few_ground_cells' END, CASE WHEN slope > 45 THEN 'slope_above_limit' END, CASE WHEN spread > 0.15 THEN 'roughness_above_limit' END, CASE WHEN observed_fraction < 0.5 THEN 'few_cells_observed' END) AS why FROM gv)
+SELECT format('S{:02d}', t) AS tree_id, cx, cy, n_cells, round(observed_fraction, 6) AS observed_fraction, round(c, 6) + 0.0 AS ground_z, round(slope, 6) AS ground_slope_deg, round(aspect, 6) AS ground_aspect_deg, round(spread, 6) AS ground_roughness_m, why AS ground_warnings, CASE WHEN why = '' THEN 'GOOD' WHEN spread <= 0.225 AND observed_fraction >= 0.3 AND slope <= 45 THEN 'FAIR' ELSE 'POOR' END AS ground_quality FROM gw"""
+
+
+@query(GROUND)
 def ground_verdict(spark, sf):
-    return rounded(gr.local_ground(scene.targets(spark, sf).select("tree_id", "cx", "cy"), _surface(spark, sf), GRID, RunConfig().ground))
+    got = gr.local_ground(scene.targets(spark, sf).select("tree_id", "cx", "cy"), _surface(spark, sf), GRID, RunConfig().ground)
+    return rounded(got.withColumn("ground_warnings", F.array_join("ground_warnings", ";")))
 
 
 @query()
