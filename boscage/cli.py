@@ -24,17 +24,19 @@ from .operators import sections as se
 from .session import checkpointed
 from .sources import las, tables
 
-#: Parameter, values, and whether the ground surface must be built anew.
+#: Parameter, values, and whether the ground surface must be built anew.
 SWEEPS = {
     "slice_thickness": ("slice.thickness_m", (0.02, 0.05, 0.10, 0.20), False),
     "ground_cell": ("ground.cell_m", (0.25, 0.5, 1.0), True),
-    "despike_tolerance": ("ground.despike_tolerance_m", (0.15, 0.35, 0.75), True),
+    "ground_despike": ("ground.despike_tolerance_m", (0.15, 0.35, 0.75), True),
     "ransac_threshold": ("ransac_circle.residual_threshold_m", (0.005, 0.01, 0.02, 0.04), False),
     "outline_sectors": ("outline.n_sectors", (36, 72, 144), False),
     "coverage_bin": ("coverage.angular_bin_deg", (2.0, 5.0, 10.0), False),
     "ellipse_coverage": ("ellipse.min_coverage_fraction", (0.55, 0.70, 0.85), False),
     "ellipse_shell": ("ellipse.max_normalised_residual", (0.03, 0.05, 0.08), False),
 }
+#: Experiments that read one run: no value is changed.
+READS = ("geometry", "height_strategy", "models")
 
 
 def settings(path: str | None) -> RunConfig:
@@ -53,24 +55,42 @@ def build_ground(spark: SparkSession, path: str, cfg: RunConfig) -> tuple[DataFr
     return checkpointed(gr.surface(scan(spark, path), g, c.despike_radius_cells, c.despike_tolerance_m, c.smooth_iterations)), g
 
 
-def wanted(spark: SparkSession, args) -> DataFrame:
-    """tree_id, cx, cy of --at with --tree-id, and of --targets."""
+def wanted(spark: SparkSession, args, field: DataFrame | None = None) -> DataFrame:
+    """tree_id, cx, cy of --at with --tree-id, and of --targets; else those of the field table."""
     names = args.tree_id or []
     rows = [(names[i] if i < len(names) else f"tree_{i + 1:03d}", float(x), float(y)) for i, (x, y) in enumerate(args.at or [])]
     out = spark.createDataFrame(rows, "tree_id string, cx double, cy double")
     if args.targets:
-        out = out.unionByName(tables.targets(spark, args.targets))
-    elif not rows:
+        return out.unionByName(tables.targets(spark, args.targets))
+    if rows:
+        return out
+    if field is None:
         raise SystemExit("name trees with --at X Y or --targets FILE")
-    return out
+    missing = field.filter("x is null or y is null").count()
+    if missing:
+        raise SystemExit(f"{missing} field trees have no x and y; fill them in or give --targets")
+    return field.select("tree_id", F.col("x").alias("cx"), F.col("y").alias("cy"))
 
 
-def measured(spark: SparkSession, args, cfg: RunConfig, surface: tuple[DataFrame, gr.Grid] | None = None) -> tuple[DataFrame, DataFrame]:
+def measured(spark: SparkSession, args, cfg: RunConfig, surface: tuple[DataFrame, gr.Grid] | None = None, trees: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Measurements and fits of the wanted trees."""
     cells, g = surface or build_ground(spark, args.file, cfg)
-    targets = checkpointed(gr.local_ground(wanted(spark, args), cells, g, cfg.ground).filter("ground_z is not null"))
+    targets = checkpointed(gr.local_ground(wanted(spark, args) if trees is None else trees, cells, g, cfg.ground).filter("ground_z is not null"))
     found = checkpointed(me.fit_trees(scan(spark, args.file), targets, cfg, args.roi))
-    return checkpointed(me.measurements(found, targets, cfg)), found
+    m = me.measurements(found, targets, cfg).withColumn("provenance", me.provenance(cfg, json.dumps(las.inspect(args.file))))
+    return checkpointed(m), found
+
+
+def matched_with(m: DataFrame, found: DataFrame, field: DataFrame, cfg: RunConfig) -> DataFrame:
+    """Measured trees beside their field values, each with the comparator of its method."""
+    main = found.filter((F.col("height_m") == cfg.slice.target_height_m) & F.col("valid"))
+    pick = lambda model, c: F.max(F.when(F.col("model") == model, c))
+    # a tape lies on the convex outline, calipers average the axes
+    hull = perimeter_diameter(F.col("hull_perimeter_m"))
+    shapes = main.groupBy("tree_id", "geometry").agg(pick("outline_radial_median", hull).alias("perimeter_d"), pick("outline_radial_median_inliers", hull).alias("inlier_perimeter_d"), pick("ellipse", (F.col("major_m") + F.col("minor_m")) / 2).alias("mean_axes_d"))
+    j = m.select("tree_id", "geometry", "dbh_m", "status", F.col("confidence_band").alias("band"), F.col("sel_coverage").alias("coverage"), "selected_model").join(shapes, ["tree_id", "geometry"], "left")
+    j = rv.select_comparator(j.join(field.select("tree_id", "split", F.col("field_dbh_cm").alias("field_cm"), F.col("measurement_method").alias("method"), F.col("shape_class").alias("shape")), "tree_id"))
+    return j.withColumn("predicted_cm", F.col("comparator_m") * 100).withColumn("error_cm", F.round(F.col("predicted_cm") - F.col("field_cm"), 3))
 
 
 def at(folder: str, name: str) -> str:
@@ -113,46 +133,83 @@ def cmd_measure(spark, args) -> None:
     m, found = measured(spark, args, cfg)
     tables.write_csv(me.export(m, cfg), at(args.outdir, "measurements.csv"))
     tables.write_json(m, found, at(args.outdir, "measurements.json"))
+    with open(at(args.outdir, "run_config.yaml"), "w", encoding="utf-8") as f:
+        f.write(cfg.to_yaml())
     me.export(m, cfg).select("tree_id", "dbh_cm", "status", "confidence_band", "selected_model", "reasons").orderBy("tree_id").show(1000, truncate=False)
 
 
 def cmd_benchmark(spark, args) -> None:
+    """Scores of all trees and of each split, the comparators used, and ids on one side only."""
     cfg = settings(args.config)
-    m, found = measured(spark, args, cfg)
     field = tables.reference(spark, args.reference)
+    m, found = measured(spark, args, cfg, trees=wanted(spark, args, field))
     if args.split:
         field = field.filter(F.col("split") == args.split)
-    main = found.filter((F.col("height_m") == cfg.slice.target_height_m) & F.col("valid"))
-    pick = lambda model, c: F.max(F.when(F.col("model") == model, c))
-    # a tape lies on the convex outline, crossed calipers average the axes
-    hull = perimeter_diameter(F.col("hull_perimeter_m"))
-    shapes = main.groupBy("tree_id", "geometry").agg(pick("outline_radial_median", hull).alias("perimeter_d"), pick("outline_radial_median_inliers", hull).alias("inlier_perimeter_d"), pick("ellipse", (F.col("major_m") + F.col("minor_m")) / 2).alias("mean_axes_d"))
-    j = m.select("tree_id", "geometry", "dbh_m", "status", F.col("confidence_band").alias("band"), F.col("best_coverage").alias("coverage")).join(shapes, ["tree_id", "geometry"], "left")
-    j = rv.select_comparator(j.join(field.select("tree_id", F.col("field_dbh_cm").alias("field_cm"), F.col("measurement_method").alias("method"), F.col("shape_class").alias("shape")), "tree_id"))
-    j = j.withColumn("predicted_cm", F.col("comparator_m") * 100)
+    j = checkpointed(matched_with(m, found, field, cfg))
     j.write.mode("overwrite").json(at(args.outdir, "per_tree.json"))
-    scores = checkpointed(rv.score(j))
+    scores = checkpointed(rv.splits(j))
     scores.write.mode("overwrite").json(at(args.outdir, "benchmark.json"))
+    counts = checkpointed(rv.comparator_counts(j))
+    counts.write.mode("overwrite").json(at(args.outdir, "comparators.json"))
     rv.unmatched(field, m).write.mode("overwrite").json(at(args.outdir, "unmatched.json"))
-    scores.orderBy("stratum", F.desc("n_matched")).show(200, truncate=False)
+    tables.write_csv(me.export(m, cfg), at(args.outdir, "benchmark_measurements.csv"))
+    scores.orderBy("split", "stratum", F.desc("n_matched")).show(200, truncate=False)
+    counts.orderBy("comparator").show(truncate=False)
+    fallbacks = counts.filter("fallback").agg(F.sum("n")).first()[0]
+    if fallbacks:
+        print(f"warning: {fallbacks} trees are scored by the reported diameter, since their method's comparator was not available", file=sys.stderr)
+
+
+def free_experiments(spark, args, cfg: RunConfig, base, names: list[str], field: DataFrame | None) -> None:
+    """What one run tells without changing a value: strategies over heights, cuts, models."""
+    m, found = measured(spark, args, cfg, base)
+    m, found = checkpointed(m), checkpointed(found)
+    out: dict[str, DataFrame] = {}
+    if "height_strategy" in names:
+        ways = {"single_slice": "single", "profile_median": "median", "taper_interpolated": "interpolated"}
+        long = reduce(DataFrame.unionByName, [m.select("tree_id", F.lit(k).alias("strategy"), F.col(c).alias("d")).filter("d is not null") for k, c in ways.items()])
+        out["height_strategy"] = rv.deviation_by(long, "tree_id", "strategy", least=2)
+        if field is not None:
+            scored = [rv.score(matched_with(m.withColumn("dbh_m", F.col(c)), found, field, cfg), ["split"]).filter("stratum = 'overall'").withColumn("strategy", F.lit(k)) for k, c in ways.items()]
+            out["height_strategy_scores"] = reduce(DataFrame.unionByName, scored)
+    if "geometry" in names:
+        cuts = rv.geometry_differences(m.select("tree_id", F.col("single").alias("horizontal_d"), F.col("normal").alias("normal_d"), "tilt_deg", "selected_model"))
+        out["geometry"], out["geometry_summary"] = cuts, rv.geometry_summary(cuts)
+    if "models" in names:
+        main = found.filter((F.col("height_m") == cfg.slice.target_height_m) & F.col("valid")).join(m.select("tree_id", "geometry"), ["tree_id", "geometry"]).select("tree_id", "model", F.col("diameter_m").alias("d"))
+        out["models"], out["models_from_geometric"] = rv.deviation_by(main, "tree_id", "model", least=2), rv.difference_from(main, "tree_id", "model", "circle_geometric")
+    for name, table in out.items():
+        table.write.mode("overwrite").json(at(args.outdir, f"{name}.json"))
+        print(name)
+        table.show(100, truncate=False)
 
 
 def cmd_experiment(spark, args) -> None:
     """One sweep at a time; the number of values is fixed and small."""
     cfg = settings(args.config)
     base = build_ground(spark, args.file, cfg)
-    for name in args.experiment or list(SWEEPS):
+    names = [*SWEEPS, *READS] if not args.experiment or "all" in args.experiment else args.experiment
+    field = tables.reference(spark, args.reference) if args.reference else None
+    if set(names) & set(READS):
+        free_experiments(spark, args, cfg, base, names, field)
+    for name in (n for n in names if n in SWEEPS):
         path, values, rebuild = SWEEPS[name]
-        parts = []
+        parts, scores = [], []
         for v in values:
             changed = set_value(cfg, path, v)
-            m, _ = measured(spark, args, changed, None if rebuild else base)
-            parts.append(m.select("tree_id", F.lit(float(v)).alias("value"), F.col("dbh_m").alias("d"), "status"))
-        swept = reduce(DataFrame.unionByName, parts)
+            m, found = measured(spark, args, changed, None if rebuild else base)
+            parts.append(m.select("tree_id", F.lit(float(v)).alias("value"), F.col("dbh_m").alias("d"), "status", "confidence_band", (100 * F.col("sel_rmse")).alias("rmse_cm"), F.col("sel_coverage").alias("coverage")))
+            if field is not None:
+                scores.append(rv.score(matched_with(m, found, field, changed)).filter("stratum = 'overall'").withColumn("value", F.lit(float(v))))
+        swept = checkpointed(reduce(DataFrame.unionByName, parts))
         swept.write.mode("overwrite").json(at(args.outdir, f"{name}.json"))
         rv.sensitivity(swept, "value").write.mode("overwrite").json(at(args.outdir, f"{name}_sensitivity.json"))
+        if scores:
+            reduce(DataFrame.unionByName, scores).write.mode("overwrite").json(at(args.outdir, f"{name}_scores.json"))
+        per = swept.groupBy("value").agg(F.count("*").alias("trees"), F.count("d").alias("reported"), F.median("d").alias("median"), (F.max("d") - F.min("d")).alias("spread"), F.median("rmse_cm").alias("median_rmse_cm"), F.median("coverage").alias("median_coverage"))
+        per.write.mode("overwrite").json(at(args.outdir, f"{name}_variants.json"))
         print(name)
-        swept.groupBy("value").agg(F.count("*").alias("trees"), F.count("d").alias("reported"), F.median("d").alias("median"), (F.max("d") - F.min("d")).alias("spread")).orderBy("value").show()
+        per.orderBy("value").show()
 
 
 def parser() -> argparse.ArgumentParser:
@@ -184,7 +241,9 @@ def parser() -> argparse.ArgumentParser:
     b = add("benchmark", cmd_benchmark, trees=True)
     b.add_argument("-r", "--reference", required=True)
     b.add_argument("--split", choices=tables.SPLITS)
-    add("experiment", cmd_experiment, trees=True).add_argument("-e", "--experiment", action="append", choices=list(SWEEPS))
+    e = add("experiment", cmd_experiment, trees=True)
+    e.add_argument("-e", "--experiment", action="append", choices=[*SWEEPS, *READS, "all"])
+    e.add_argument("-r", "--reference")
     return p
 
 

@@ -31,7 +31,11 @@ def seed_centre(xyz: np.ndarray, hag: np.ndarray, cfg, centre: tuple[float, floa
 
 
 def stem_axis(xyz: np.ndarray, hag: np.ndarray, cfg, centre: tuple[float, float], radius: float, ground_z: float) -> dict:
-    """A straight axis through circle centres of height bins, searched three times around itself."""
+    """A straight axis through circle centres of height bins, searched three times around itself.
+
+    A bin stands at the mean height of its points near the axis, so returns of a neighbour in the
+    same bin don't move it.
+    """
     a = cfg.axis
     up = {"x": centre[0], "y": centre[1], "dx": 0.0, "dy": 0.0, "dz": 1.0, "tilt_deg": 0.0, "azimuth_deg": 0.0, "scatter_m": None, "n_bins": 0, "valid": False, "warnings": ["axis_not_estimated"]}
     inside = (hag >= a.lower_height_m) & (hag <= a.upper_height_m)
@@ -105,29 +109,53 @@ def drop_isolated(xy: np.ndarray, radius: float, least: int) -> np.ndarray:
     return xy[keep]
 
 
+def sector_quantiles(value: np.ndarray, sector: np.ndarray, shares: tuple[float, ...], least: int) -> np.ndarray:
+    """Quantiles of each sector with ``least`` values or more, a row each; all sectors at once, by
+    linear interpolation in one sorted array."""
+    order = np.lexsort((value, sector))
+    own, first, n = np.unique(sector[order], return_index=True, return_counts=True)
+    first, n = first[n >= least, None], n[n >= least, None]
+    at = (n - 1) * np.array(shares)[None]
+    low, sorted_ = np.floor(at).astype(int), value[order]
+    high = np.minimum(low + 1, n - 1)
+    return sorted_[first + low] + (at - low) * (sorted_[first + high] - sorted_[first + low])
+
+
+def lobes(ring: np.ndarray) -> int | None:
+    """Bulges of a closed ring of radii: half the changes between above and below its median."""
+    side = np.sign(ring - np.median(ring))
+    side = side[side != 0]
+    return int(max(1, round(np.count_nonzero(np.diff(side)) / 2))) if len(side) > 2 else None
+
+
+#: What a section shows of attached material or an irregular surface.
+ANOMALY = ("outlier_fraction", "outside", "spread_cover", "excess", "lobes", "above", "thick", "sector_iqr_m")
+SECTORS = 72
+
+
 def radial_anomaly(xy: np.ndarray, robust: dict | None, ring: dict | None, cfg) -> dict:
-    """Evidence that parts of a section are attached material or an irregular surface."""
-    out = {"outlier_fraction": None, "outside": None, "spread_cover": None, "excess": None, "lobes": None, "above": None, "thick": None}
+    """Evidence of one section (ANOMALY), where it can be had: how the points that the robust circle
+    leaves out lie to it, how thick its sectors are, how its outline swings."""
+    out = dict.fromkeys(ANOMALY)
     if robust is None or robust["cx"] is None or robust["diameter_m"] is None or not len(xy):
         return out
     d = xy - [robust["cx"], robust["cy"]]
     r = np.hypot(*d.T)
+    sector = np.minimum((np.degrees(np.arctan2(d[:, 1], d[:, 0])) % 360.0 * SECTORS / 360.0).astype(int), SECTORS - 1)
+    quarters = sector_quantiles(r, sector, (0.25, 0.75), 5)
+    if len(quarters):
+        iqr = quarters[:, 1] - quarters[:, 0]
+        out |= {"sector_iqr_m": float(np.median(iqr)), "thick": float((iqr > cfg.decision.contamination_sector_spread_m).mean())}
     dev = r - robust["diameter_m"] / 2
-    far = np.abs(dev) > cfg.ransac_circle.residual_threshold_m
-    sec = np.minimum((np.degrees(np.arctan2(d[:, 1], d[:, 0])) % 360.0 / 5.0).astype(int), 71)
-    wide = [float(np.subtract(*np.percentile(r[sec == k], [75, 25]))) > cfg.decision.contamination_sector_spread_m for k in np.flatnonzero(np.bincount(sec, minlength=72) >= 5)]
-    out |= {"outlier_fraction": float(far.mean()), "thick": float(np.mean(wide)) if wide else None}
-    if not far.any():
+    left_out = dev[np.abs(dev) > cfg.ransac_circle.residual_threshold_m]
+    out["outlier_fraction"] = len(left_out) / len(dev)
+    if not len(left_out):
         return out
-    out |= {"outside": float((dev[far] > 0).mean()), "excess": float(np.median(dev[far])), "spread_cover": len(np.unique(sec[far])) / 72}
-    if ring is not None and ring["sector_radius"] is not None:
-        own = np.array(ring["sector_radius"])[np.array(ring["sector_occupied"], bool)]
-        if len(own) >= 8:
-            side = np.sign(own - np.median(own))
-            side = side[side != 0]
-            if len(side) > 2:
-                out["lobes"] = int(max(1, round(np.count_nonzero(np.diff(side)) / 2)))
-            out["above"] = float((own > np.median(own)).mean())
+    where = np.bincount(sector[np.abs(dev) > cfg.ransac_circle.residual_threshold_m], minlength=SECTORS)
+    out |= {"outside": float((left_out > 0).mean()), "excess": float(np.median(left_out)), "spread_cover": float((where > 0).mean())}
+    radii = np.array(ring["sector_radius"])[np.array(ring["sector_occupied"], bool)] if ring is not None and ring["sector_radius"] is not None else np.zeros(0)
+    if len(radii) >= 8:
+        out |= {"lobes": lobes(radii), "above": float((radii > np.median(radii)).mean())}
     return out
 
 

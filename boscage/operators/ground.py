@@ -80,19 +80,19 @@ def nearest(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 CELLS = "ix int, iy int, low double, cnt long, med double, spike boolean, observed boolean, filled double, z double"
 
 
-def _tiled(cells: DataFrame, g: Grid, halo: int, kept: list[str]) -> DataFrame:
+def _tiled(cells: DataFrame, g: Grid, side: int, halo: int, kept: list[str]) -> DataFrame:
     """Each tile's cells and those within ``halo`` of it, under (tx, ty); every tile has a row."""
-    span = lambda c, n: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - halo) / TILE).cast("int")), F.least(F.lit((n - 1) // TILE), F.floor((F.col(c) + halo) / TILE).cast("int"))))
+    span = lambda c, n: F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - halo) / side).cast("int")), F.least(F.lit((n - 1) // side), F.floor((F.col(c) + halo) / side).cast("int"))))
     seen = cells.select(span("ix", g.nx).alias("tx"), "ix", "iy", *kept).select("tx", span("iy", g.ny).alias("ty"), "ix", "iy", *kept)
-    across = (g.ny - 1) // TILE + 1
-    every = cells.sparkSession.range(((g.nx - 1) // TILE + 1) * across).select(F.floor(F.col("id") / across).cast("int").alias("tx"), (F.col("id") % across).cast("int").alias("ty"))
+    across = (g.ny - 1) // side + 1
+    every = cells.sparkSession.range(((g.nx - 1) // side + 1) * across).select(F.floor(F.col("id") / across).cast("int").alias("tx"), (F.col("id") % across).cast("int").alias("ty"))
     return seen.unionByName(every, allowMissingColumns=True)
 
 
-def _view(pdf: pd.DataFrame, g: Grid, halo: int) -> tuple[slice, slice, int, int, pd.DataFrame]:
+def _view(pdf: pd.DataFrame, g: Grid, side: int, halo: int) -> tuple[slice, slice, int, int, pd.DataFrame]:
     """The tile's own range of rows and columns, the corner of what it sees, and the cells seen."""
     tx, ty = int(pdf["tx"].iloc[0]), int(pdf["ty"].iloc[0])
-    i, j = slice(tx * TILE, min(g.nx, (tx + 1) * TILE)), slice(ty * TILE, min(g.ny, (ty + 1) * TILE))
+    i, j = slice(tx * side, min(g.nx, (tx + 1) * side)), slice(ty * side, min(g.ny, (ty + 1) * side))
     return i, j, max(0, i.start - halo), max(0, j.start - halo), pdf[pdf["ix"].notna()]
 
 
@@ -109,7 +109,7 @@ def _emit(i: slice, j: slice, values: dict[str, np.ndarray]) -> pd.DataFrame:
     return pd.DataFrame({"ix": ix.ravel().astype(np.int32), "iy": iy.ravel().astype(np.int32)} | {c: v.ravel() for c, v in values.items()})
 
 
-def raster(cells: DataFrame, g: Grid, radius: int = 2, tolerance: float = 0.35, passes: int = 2) -> DataFrame:
+def raster(cells: DataFrame, g: Grid, radius: int = 2, tolerance: float = 0.35, passes: int = 2, side: int = TILE, halo: int = HALO) -> DataFrame:
     """All cells of the grid with every step's result (CELLS), stored.
 
     ``low``: lowest return; ``med``: the window's median, where empty cells count as the highest
@@ -119,10 +119,10 @@ def raster(cells: DataFrame, g: Grid, radius: int = 2, tolerance: float = 0.35,
     """
     cells = checkpointed(cells)
     top = cells.agg(F.max("z")).first()[0]
-    halo = max(HALO, radius + passes + 1)
+    halo = max(halo, radius + passes + 1)
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j, i0, j0, seen = _view(pdf, g, halo)
+        i, j, i0, j0, seen = _view(pdf, g, side, halo)
         i1, j1 = min(g.nx, i.stop + halo), min(g.ny, j.stop + halo)
         low, cnt = np.full((i1 - i0, j1 - j0), np.nan), np.zeros((i1 - i0, j1 - j0), np.int64)
         at = seen["ix"].to_numpy(np.int64) - i0, seen["iy"].to_numpy(np.int64) - j0
@@ -148,20 +148,20 @@ def raster(cells: DataFrame, g: Grid, radius: int = 2, tolerance: float = 0.35,
         z = _smoothed(filled, observed, passes)
         return _emit(i, j, {"low": low[own], "cnt": cnt[own], "med": med[own], "spike": spike[own], "observed": observed[own], "filled": filled[own], "z": z[own]})
 
-    out = checkpointed(_tiled(cells, g, halo, ["z", "cnt"]).groupBy("tx", "ty").applyInPandas(tile, CELLS))
+    out = checkpointed(_tiled(cells, g, side, halo, ["z", "cnt"]).groupBy("tx", "ty").applyInPandas(tile, CELLS))
     if top is None or not out.filter("filled is null").limit(1).count():
         return out
-    return _completed(out, g, passes)
+    return _completed(out, g, passes, side, halo)
 
 
-def _completed(out: DataFrame, g: Grid, passes: int) -> DataFrame:
+def _completed(out: DataFrame, g: Grid, passes: int, side: int, reach: int) -> DataFrame:
     """Fills what no tile could, and smooths again where that changes something.
 
     The search looks into blocks of ``reach`` cells around a cell and keeps what is surely nearest
     (within reach); cells without an answer search again with twice the reach. Every pass is stored.
     """
     seen = out.filter("observed").select(F.col("ix").alias("ox"), F.col("iy").alias("oy"), F.col("low").alias("oz"))
-    todo, reach, found = out.filter("filled is null").select("ix", "iy"), HALO, None
+    todo, found = out.filter("filled is null").select("ix", "iy"), None
     while True:
         block = lambda c, w=reach: F.floor(F.col(c) / w)
         offs = F.sequence(F.lit(-1), F.lit(1))
@@ -177,7 +177,7 @@ def _completed(out: DataFrame, g: Grid, passes: int) -> DataFrame:
     whole = checkpointed(out.join(found, ["ix", "iy"], "left").withColumn("filled", F.coalesce("filled", "_far")).drop("_far"))
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j, i0, j0, near = _view(pdf, g, passes)
+        i, j, i0, j0, near = _view(pdf, g, side, passes)
         shape = min(g.nx, i.stop + passes) - i0, min(g.ny, j.stop + passes) - j0
         filled, observed = np.full(shape, np.nan), np.zeros(shape, bool)
         at = near["ix"].to_numpy(np.int64) - i0, near["iy"].to_numpy(np.int64) - j0
@@ -185,7 +185,7 @@ def _completed(out: DataFrame, g: Grid, passes: int) -> DataFrame:
         own = slice(i.start - i0, i.stop - i0), slice(j.start - j0, j.stop - j0)
         return _emit(i, j, {"_z": _smoothed(filled, observed, passes)[own]})
 
-    again = _tiled(whole, g, passes, ["filled", "observed"]).groupBy("tx", "ty").applyInPandas(tile, "ix int, iy int, _z double")
+    again = _tiled(whole, g, side, passes, ["filled", "observed"]).groupBy("tx", "ty").applyInPandas(tile, "ix int, iy int, _z double")
     return checkpointed(whole.join(again, ["ix", "iy"], "left").withColumn("z", F.col("_z")).drop("_z"))
 
 

@@ -20,7 +20,7 @@ from ..functions.columns import cm
 from ..session import checkpointed
 from .sections import crop_many, horizontal_sections, profile
 
-FITS = "tree_id string, geometry string, height_m double, model string, definition string, diameter_m double, cx double, cy double, rmse_m double, median_abs_residual_m double, max_abs_residual_m double, point_count int, inlier_count int, inlier_fraction double, angular_coverage double, largest_gap_deg double, n_arcs int, bootstrap_std_m double, valid boolean, warnings array<string>, major_m double, minor_m double, rotation_deg double, area_m2 double, perimeter_m double, hull_perimeter_m double, convexity_deficit double, roughness_m double, sector_radius array<double>, sector_occupied array<boolean>, seed_x double, seed_y double, tilt_deg double, azimuth_deg double, axis_valid boolean, tree_warnings array<string>, section_points int, outlier_fraction double, outside double, spread_cover double, excess double, lobes int, above double, thick double"
+FITS = "tree_id string, geometry string, height_m double, model string, definition string, diameter_m double, cx double, cy double, rmse_m double, median_abs_residual_m double, max_abs_residual_m double, point_count int, inlier_count int, inlier_fraction double, angular_coverage double, largest_gap_deg double, n_arcs int, bootstrap_std_m double, valid boolean, warnings array<string>, major_m double, minor_m double, rotation_deg double, area_m2 double, perimeter_m double, hull_perimeter_m double, convexity_deficit double, roughness_m double, sector_radius array<double>, sector_occupied array<boolean>, seed_x double, seed_y double, tilt_deg double, azimuth_deg double, axis_valid boolean, tree_warnings array<string>, section_points int, outlier_fraction double, outside double, spread_cover double, excess double, lobes int, above double, thick double, sector_iqr_m double"
 
 #: The largest search radius.
 MAX_RADIUS_M = 1.5
@@ -232,7 +232,7 @@ def measurements(found: DataFrame, targets: DataFrame, cfg: RunConfig | None = N
         pick("ellipse", "valid").alias("ellipse_valid"), (pick("ellipse", "major_m") / pick("ellipse", "minor_m")).alias("ratio"), pick("ellipse", "rotation_deg").alias("rotation_deg"),
         pick("outline_radial_median", "valid").alias("outline_valid"), pick("outline_radial_median", "convexity_deficit").alias("_deficit"), (pick("outline_radial_median", "roughness_m") / (pick("outline_radial_median", "diameter_m") / 2)).alias("_rough"),
         F.abs(pick("outline_radial_median", "diameter_m") - pick("outline_radial_median_inliers", "diameter_m")).alias("cleaning_shift_m"),
-        *[F.max(c).alias(c) for c in ("outlier_fraction", "outside", "spread_cover", "excess", "lobes", "above", "thick")],
+        *[F.max(c).alias(c) for c in stem.ANOMALY],
     )
     tree = tree.withColumn("disagreement_m", F.when(F.col("n_models") >= 2, F.col("_spread")))
     tree = tree.withColumn("irregular", F.coalesce((F.col("_deficit") > d.irregular_convexity_deficit_min) & (F.col("_rough") > d.irregular_roughness_ratio_min), F.lit(False)))

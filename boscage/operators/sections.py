@@ -66,6 +66,21 @@ def stem_normal_sections(points: DataFrame, heights: list[float], thickness: flo
     return fan.withColumn("s", along).withColumn("p", p).withColumn("q", q).filter(F.abs("s") <= thickness / 2 + 1e-9)
 
 
+def section_to_world(points: DataFrame, geometry: str, target: float = 1.3) -> DataFrame:
+    """World ``wx``, ``wy`` of section coordinates u, v: the way back from a section to the scan.
+
+    Reads the axis (x, y at ``target`` height; dx, dy, dz) and the section's height_m.
+    """
+    up = (F.col("height_m") - target) / F.col("dz")
+    cx, cy = F.col("x") + F.col("dx") * up, F.col("y") + F.col("dy") * up
+    if geometry == "horizontal":
+        return points.withColumn("wx", cx + F.col("u")).withColumn("wy", cy + F.col("v"))
+    flat = F.hypot("dx", "dy")
+    level = flat < 1e-9
+    ex, ey = F.when(level, 0.0).otherwise(-F.col("dy") / flat), F.when(level, 1.0).otherwise(F.col("dx") / flat)
+    return points.withColumn("wx", cx + F.col("u") * ey * F.col("dz") + F.col("v") * ex).withColumn("wy", cy - F.col("u") * ex * F.col("dz") + F.col("v") * ey)
+
+
 def remove_isolated(points: DataFrame, keys: list[str], radius: float, least: int) -> DataFrame:
     """Points with more than ``least`` points, themselves included, within ``radius``.
 

@@ -1,4 +1,4 @@
-"""LAS files (versions 1.0 to 1.3, point formats 0 to 5) as a Spark data source.
+"""LAS files (versions 1.0 to 1.4, point formats 0 to 10) as a Spark data source.
 
 ``spark.dataSource.register(LasSource)`` then ``spark.read.format("las").load(path)``. Records
 have a fixed width, so every partition seeks to its own record range and reads nothing else.
@@ -19,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "point_id long, x double, y double, z double, classification int"
 #: Bytes of a record by point format.
-RECORD = {0: 20, 1: 28, 2: 26, 3: 34, 4: 57, 5: 63}
+RECORD = {0: 20, 1: 28, 2: 26, 3: 34, 4: 57, 5: 63, 6: 30, 7: 36, 8: 38, 9: 59, 10: 67}
 PER_PARTITION = 2_000_000
 PLAUSIBLE_EXTENT_M = (1.0, 5000.0)
 
@@ -40,7 +40,7 @@ class Header:
 
 def read_header(path: str) -> Header:
     with open(path, "rb") as f:
-        raw = f.read(227)
+        raw = f.read(375)
         if len(raw) < 227 or raw[:4] != b"LASF":
             raise ValueError(f"{path} is not a LAS file")
         size, at, n_vlr, fmt, width, count = struct.unpack_from("<HIIBHI", raw, 94)
@@ -48,8 +48,10 @@ def read_header(path: str) -> Header:
             raise ValueError(f"{path} is compressed; only plain .las files are read")
         if fmt not in RECORD:
             raise ValueError(f"point format {fmt} is not supported")
+        if raw[25] >= 4 and len(raw) >= 375:
+            count = struct.unpack_from("<Q", raw, 247)[0]  # the short count may be left zero
         f.seek(size)
-        crs = False
+        crs = bool(raw[6] & 0x10)  # the coordinate system is given as text
         for _ in range(n_vlr):
             vlr = f.read(54)
             if len(vlr) < 54:
@@ -78,7 +80,8 @@ def inspect(path: str, sample: int = 2_000_000) -> dict:
 
 
 def _records(path: str, h: Header, start: int, count: int) -> Iterator[dict[str, np.ndarray]]:
-    kind = np.dtype({"names": ["x", "y", "z", "c"], "formats": ["<i4", "<i4", "<i4", "u1"], "offsets": [0, 4, 8, 15], "itemsize": h.record_bytes})
+    long = h.point_format >= 6  # the class has a byte of its own
+    kind = np.dtype({"names": ["x", "y", "z", "c"], "formats": ["<i4", "<i4", "<i4", "u1"], "offsets": [0, 4, 8, 16 if long else 15], "itemsize": h.record_bytes})
     with open(path, "rb") as f:
         f.seek(h.data_at + start * h.record_bytes)
         done = 0
@@ -87,7 +90,7 @@ def _records(path: str, h: Header, start: int, count: int) -> Iterator[dict[str,
             a = np.frombuffer(raw[: len(raw) // h.record_bytes * h.record_bytes], kind)
             if not len(a):
                 break
-            yield {"point_id": np.arange(start + done, start + done + len(a), dtype=np.int64)} | {k: a[k] * h.scale[i] + h.offset[i] for i, k in enumerate("xyz")} | {"classification": (a["c"] & 0x1F).astype(np.int32)}
+            yield {"point_id": np.arange(start + done, start + done + len(a), dtype=np.int64)} | {k: a[k] * h.scale[i] + h.offset[i] for i, k in enumerate("xyz")} | {"classification": (a["c"] & (0xFF if long else 0x1F)).astype(np.int32)}
             done += len(a)
 
 
@@ -123,17 +126,21 @@ class LasSource(DataSource):
         return LasReader(self.options)
 
 
-def write(path: str, xyz: np.ndarray, scale: float = 0.001) -> None:
-    """LAS 1.2, point format 2, offsets at the minimum: for fixtures and small exports."""
+def write(path: str, xyz: np.ndarray, scale: float = 0.001, point_format: int = 2, classification: np.ndarray | None = None) -> None:
+    """LAS 1.2, or 1.4 for point formats from 6 on, offsets at the minimum: for fixtures and small exports."""
     xyz = np.asarray(xyz, float)
     low, high = (xyz.min(0), xyz.max(0)) if len(xyz) else (np.zeros(3), np.zeros(3))
-    head = bytearray(227)
-    head[:4], head[24:26] = b"LASF", bytes([1, 2])
-    struct.pack_into("<HIIBHI", head, 94, 227, 227, 0, 2, RECORD[2], len(xyz))
-    struct.pack_into("<I", head, 111, len(xyz))
+    long = point_format >= 6
+    size, width = (375, RECORD[point_format]) if long else (227, RECORD[point_format])
+    head = bytearray(size)
+    head[:4], head[24:26] = b"LASF", bytes([1, 4 if long else 2])
+    struct.pack_into("<HIIBHI", head, 94, size, size, 0, point_format, width, 0 if long else len(xyz))
     struct.pack_into("<12d", head, 131, scale, scale, scale, *low, high[0], low[0], high[1], low[1], high[2], low[2])
-    a = np.zeros(len(xyz), np.dtype({"names": ["x", "y", "z"], "formats": ["<i4"] * 3, "offsets": [0, 4, 8], "itemsize": RECORD[2]}))
+    struct.pack_into("<QQ" if long else "<I", head, 247 if long else 111, *([len(xyz)] * (2 if long else 1)))
+    a = np.zeros(len(xyz), np.dtype({"names": ["x", "y", "z", "c"], "formats": ["<i4"] * 3 + ["u1"], "offsets": [0, 4, 8, 16 if long else 15], "itemsize": width}))
     for i, k in enumerate("xyz"):
         a[k] = np.round((xyz[:, i] - low[i]) / scale)
+    if classification is not None:
+        a["c"] = classification
     with open(path, "wb") as f:
         f.write(bytes(head) + a.tobytes())

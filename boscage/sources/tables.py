@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.columns import parse_bool, parse_float
+from ..functions.columns import finite, parse_bool, parse_float
 from ..operators.review import COMPARATOR
 
 REFERENCE = ("tree_id", "field_dbh_cm", "measurement_height_m", "measurement_method", "shape_class", "buttressed", "leaning", "split", "x", "y", "notes")
@@ -41,20 +42,36 @@ def reference(spark: SparkSession, path: str) -> DataFrame:
 
 def targets(spark: SparkSession, path: str) -> DataFrame:
     """tree_id, cx, cy of a JSON array; ids default to tree_001 on."""
-    one = spark.read.schema("tree_id string, x double, y double").json(path, multiLine=True)
-    numbered = one.withColumn("_n", F.monotonically_increasing_id() + 1)  # one file, one partition
-    return numbered.select(F.coalesce("tree_id", F.format_string("tree_%03d", "_n")).alias("tree_id"), F.col("x").alias("cx"), F.col("y").alias("cy"))
+    text = spark.read.text(path, wholetext=True)
+    rows = text.select(F.posexplode(F.from_json("value", "array<struct<tree_id: string, x: double, y: double>>")).alias("_n", "one"))
+    return rows.select(F.coalesce("one.tree_id", F.format_string("tree_%03d", F.col("_n") + 1)).alias("tree_id"), F.col("one.x").alias("cx"), F.col("one.y").alias("cy"))
 
 
 def write_csv(table: DataFrame, path: str) -> None:
     table.coalesce(1).write.csv(path, header=True, mode="overwrite")
 
 
+def clean(table: DataFrame) -> DataFrame:
+    """Numbers that JSON can't hold (NaN, infinities) become null, at every depth."""
+
+    def one(c, kind: T.DataType):
+        if isinstance(kind, T.DoubleType | T.FloatType):
+            return finite(c)
+        if isinstance(kind, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*[one(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+        if isinstance(kind, T.ArrayType):
+            return F.transform(c, lambda x: one(x, kind.elementType))
+        return c
+
+    return table.select(*[one(F.col(f.name), f.dataType).alias(f.name) for f in table.schema.fields])
+
+
 def write_json(measured: DataFrame, found: DataFrame, path: str) -> None:
-    """One JSON line per tree with every fit, failures included, without per-point arrays."""
+    """One JSON line per tree with its provenance and every fit, failures included, without
+    per-point arrays."""
     slim = found.drop("sector_radius", "sector_occupied")
     nested = slim.groupBy("tree_id").agg(F.collect_list(F.struct(*[c for c in slim.columns if c != "tree_id"])).alias("candidate_results"))
-    measured.join(nested, "tree_id", "left").write.json(path, mode="overwrite", ignoreNullFields=False)
+    clean(measured.join(nested, "tree_id", "left")).write.json(path, mode="overwrite", ignoreNullFields=False)
 
 
 DECISIONS = "tree_id string, state string, reviewer string, note string, tool_status string, tool_model string, tool_dbh_cm double, override_model string, override_cm double, decided_at timestamp"
@@ -67,3 +84,17 @@ def append_decisions(decisions: DataFrame, path: str) -> None:
 
 def decisions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DECISIONS).parquet(path)
+
+
+#: A review file: one JSON document with the reviewer and a list of decisions.
+_REVIEW = "struct<reviewer: string, decisions: array<struct<tree_id: string, state: string, reviewer: string, note: string, tool_status: string, tool_selected_model: string, tool_dbh_cm: double, override_model: string, override_dbh_cm: double, decided_at: string>>>"
+
+
+def review_file(spark: SparkSession, path: str) -> DataFrame:
+    """The decisions of a review file, as log rows. Unknown fields are ignored, entries without a
+    tree are left out, a missing state is PENDING; a file that is no JSON fails the job."""
+    text = spark.read.text(path, wholetext=True)
+    failed = F.raise_error(F.lit("the review file is not JSON")).cast("string")
+    checked = text.select(F.when(F.try_parse_json("value").isNull(), failed).otherwise(F.col("value")).alias("value"))
+    d = checked.select(F.explode(F.from_json("value", _REVIEW)["decisions"]).alias("d"))
+    return d.filter(F.coalesce("d.tree_id", F.lit("")) != "").select("d.tree_id", F.coalesce("d.state", F.lit("PENDING")).alias("state"), F.coalesce("d.reviewer", F.lit("")).alias("reviewer"), F.coalesce("d.note", F.lit("")).alias("note"), "d.tool_status", F.col("d.tool_selected_model").alias("tool_model"), "d.tool_dbh_cm", "d.override_model", F.col("d.override_dbh_cm").alias("override_cm"), F.to_timestamp("d.decided_at").alias("decided_at"))
