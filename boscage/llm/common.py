@@ -9,9 +9,8 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,47 +105,39 @@ def bounded_sample(labelled: DataFrame, rows: int, seed: int) -> DataFrame:
     return labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < share)
 
 
-#: Bits of the filter that tells which ids may be members, and bits set for each id.
-FILTER_BITS = 1 << 26
-FILTER_HASHES = 4
+#: Words of 64 bits of the filter that tells which ids may be members, and bits set for each id.
+FILTER_WORDS = 1 << 20
+FILTER_BITS = 4
 
 
-def _places(ids: np.ndarray) -> np.ndarray:
-    """The filter's places of each id, a row each."""
-    seeds = np.arange(1, FILTER_HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return mix(ids.astype(np.int64).view(np.uint64)[:, None] + seeds[None]) & np.uint64(FILTER_BITS - 1)
+def _word(ident: Column) -> Column:
+    return F.pmod(F.xxhash64(ident, F.lit(61)), F.lit(FILTER_WORDS))
 
 
-def members(ids: DataFrame) -> Callable[[Any], Any]:
-    """A test of an id column (no nulls): false where an id is certainly not among ``ids`` (one
-    column of longs, no nulls).
+def _bits(ident: Column) -> Column:
+    h, out = F.xxhash64(ident, F.lit(67)), F.lit(0).cast("long")
+    for k in range(FILTER_BITS):
+        at = F.shiftright(h, 6 * k).bitwiseAND(F.lit(63)).cast("int")
+        out = out.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), at))
+    return out
 
-    It is a Bloom filter of FILTER_BITS whatever the number of ids, so it can go to every task; the
-    more ids, the more others pass, and whoever uses it must decide on those by a join.
+
+def members(ids: DataFrame) -> DataFrame:
+    """A filter of ``ids`` (one column of longs): for each word in use the bits that its ids set.
+
+    At most FILTER_WORDS rows whatever the number of ids, so ``among`` may broadcast it. The more
+    ids, the more others pass; who uses it decides on those by a join.
     """
-    name = ids.columns[0]
+    ident = F.col(ids.columns[0])
+    return written(ids.groupBy(_word(ident).alias("word")).agg(F.bit_or(_bits(ident)).alias("bits")), "members")
 
-    def run(batches: Iterator[dict[str, list]]) -> Iterator[dict]:
-        words = np.zeros(FILTER_BITS // 64, np.uint64)
-        for b in batches:
-            at = _places(np.array(b[name], np.int64)).ravel()
-            np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        at = np.flatnonzero(words)
-        yield {"word": at, "bits": words[at].view(np.int64)}
-
-    schema = T.StructType([T.StructField("word", T.LongType()), T.StructField("bits", T.LongType())])
-    found = map_batches(ids, [name], run, schema).groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most FILTER_BITS / 64 rows
-    words = np.zeros(FILTER_BITS // 64, np.uint64)
-    words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    shared = ids.sparkSession.sparkContext.broadcast(words)
-
-    @F.pandas_udf("boolean")
-    def test(column: pd.Series) -> pd.Series:
-        at = _places(column.to_numpy(np.int64))
-        bits = shared.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))
-        return pd.Series((bits & np.uint64(1)).all(1))
-
-    return test
+
+def among(table: DataFrame, ident: Column, filter_: DataFrame, may: bool = True) -> DataFrame:
+    """The rows of ``table``, its own columns, whose ``ident`` may be among the filter's ids; or, not
+    ``may``, those whose ident surely is not. A null is not."""
+    bits = _bits(ident)
+    hit = ident.isNotNull() & (_word(ident) == filter_["word"]) & (filter_["bits"].bitwiseAND(bits) == bits)
+    return table.join(F.broadcast(filter_), hit, "left_semi" if may else "left_anti")
 
 
 def one_row(df: DataFrame, fn: Callable[[dict[str, list]], bytes]) -> bytes:

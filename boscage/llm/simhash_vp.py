@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, members, mix, utf8, word_hashes, written
+from .common import among, map_batches, members, mix, utf8, word_hashes, written
 
 SHINGLE = 4
 BANDS = 3
@@ -399,8 +399,8 @@ def keep_one(docs: DataFrame, scheme: Scheme = FIVE_WORDS) -> DataFrame:
     found = near_duplicates(docs, scheme)
     odd = written(found.filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count("*").alias("n")).filter("gone or n > 1"), "simhash-odd")
     ident = docs["doc_id"].cast("long")
-    doubtful = members(odd.select("doc_id"))(F.coalesce(ident, F.lit(0))) & ident.isNotNull()
+    doubtful = members(odd.select("doc_id"))
     gone = odd.filter("gone").select(F.col("doc_id").alias("gone"))
     # ids grow with the documents, so they are never broadcast: the plan is one at every size
-    kept = docs.filter(doubtful).join(gone.hint("merge"), ident == gone["gone"], "left_anti").dropDuplicates(["doc_id"])
-    return docs.filter(~doubtful).unionByName(kept)
+    kept = among(docs, ident, doubtful).join(gone.hint("merge"), ident == gone["gone"], "left_anti").dropDuplicates(["doc_id"])
+    return among(docs, ident, doubtful, may=False).unionByName(kept)

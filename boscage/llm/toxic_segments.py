@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, fold, map_batches, members, mix, one_row, utf8, word_hashes, written
+from .common import among, bounded_sample, fold, map_batches, members, mix, one_row, utf8, word_hashes, written
 
 BITS = 18
 #: Pseudo-count of the Dirichlet prior, standard deviations taken off, and the drift.
@@ -206,7 +206,7 @@ def count_tokens(docs: DataFrame, labelled: DataFrame) -> tuple[np.ndarray, np.n
     texts = docs.select(F.col("doc_id"), F.xxhash64("text").alias("_hash")).join(labelled, "doc_id")
     once = written(texts.groupBy("_hash").agg(F.min("doc_id").cast("long").alias("doc_id"), F.max("_label").alias("_label")).select("doc_id", "_label"), "toxic-once")
     # texts whose id is surely not among them stay where they are
-    labelled_texts = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & members(once.select("doc_id"))(F.coalesce(F.col("doc_id").cast("long"), F.lit(0))))
+    labelled_texts = among(docs.select("doc_id", "text"), docs["doc_id"].cast("long"), members(once.select("doc_id")))
     rows = map_batches(labelled_texts.join(once, "doc_id"), ["text", "_label"], run, schema)
     counts = written(rows.groupBy("label", "place").agg(F.sum("n").alias("n")), "toxic-counts")
     sums = counts.filter(F.col("label") != _PAIRS).toPandas()  # at most 2 * 2**BITS rows
@@ -237,6 +237,16 @@ def scoring(pairs: DataFrame, token: np.ndarray) -> np.ndarray:
     return out
 
 
+def calibrate(m: Toxicity, places: list[np.ndarray], y: np.ndarray) -> None:
+    """Sets K by the clean texts' best passages, and the curve; nothing without both classes."""
+    best = [max([x[2] for x in maximal_segments(m.scores(p))], default=0.0) for p in places]
+    reduced = [m.lam * b - np.log(len(p)) for b, p, c in zip(best, places, y, strict=True) if len(p) and c == 0]
+    if not reduced or y.all() or not y.any():
+        return
+    m.log_k = float(np.median(reduced) + np.log(np.log(2)))
+    m.a, m.b = _logistic(np.array([np.log1p(m.evidence(p)[0]) for p in places]), y)
+
+
 def train(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, rows: int = CALIBRATION_ROWS, seed: int = 13) -> Toxicity:
     labelled = _usable(labels, parts, held)
     toxic, clean, pairs = count_tokens(docs, labelled)
@@ -246,15 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, row
 
     def fit(cols: dict[str, list]) -> bytes:
         m = Toxicity(shared.value, lam, 0.0, -20.0, 0.0)
-        y = np.array(cols["_label"], float)
-        places = [tokens(t)[0] for t in cols["text"]]
-        best = [max([x[2] for x in maximal_segments(m.scores(p))], default=0.0) for p in places]
-        reduced = [lam * b - np.log(len(p)) for b, p, c in zip(best, places, y, strict=True) if len(p) and c == 0]
-        if not reduced or y.all() or not y.any():
-            return m.to_bytes()
-        m.log_k = float(np.median(reduced) + np.log(np.log(2)))
-        x = np.array([np.log1p(m.evidence(p)[0]) for p in places])
-        m.a, m.b = _logistic(x, y)
+        calibrate(m, [tokens(t)[0] for t in cols["text"]], np.array(cols["_label"], float))
         return m.to_bytes()
 
     return Toxicity.from_bytes(one_row(docs.select("doc_id", "text").join(F.broadcast(bounded_sample(labelled, rows, seed)), "doc_id"), fit))

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
-from boscage.llm.common import members
+from boscage.llm.common import among, members
 from boscage.llm import hier_mixing, queries, simhash_vp, tier_packing, url_filter, voronoi_knn, warc_cas
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -111,11 +111,12 @@ def test_sketched_links_lose_nothing(spark, monkeypatch):
 
 def test_filter_of_members_knows_all_of_them(spark):
     ids = [7 * k * k - 50 for k in range(500)]
-    test = members(spark.createDataFrame([(i,) for i in ids], "x long"))
-    got = spark.range(-1000, 200_000).filter(test(F.col("id"))).toPandas().id
-    assert {i for i in ids if i < 200_000} <= set(got) and len(got) < 1.01 * len(ids) + 50
+    table = spark.range(-1000, 200_000).select(F.col("id").alias("word"), F.lit(1).alias("bits")).unionByName(spark.createDataFrame([(None, 2)], "word long, bits int"))
+    known = members(spark.createDataFrame([(i,) for i in ids], "x long"))
+    may, sure = among(table, table["word"], known).toPandas(), among(table, table["word"], known, may=False).toPandas()
+    assert {i for i in ids if i < 200_000} <= set(may.word) and len(may) < 200 and len(may) + len(sure) == 201_001 and sure.word.isna().sum() == 1
     none = members(spark.createDataFrame([], "x long"))
-    assert spark.range(1000).filter(none(F.col("id"))).count() == 0
+    assert among(table, table["word"], none).count() == 0 and among(table, table["word"], none, may=False).count() == 201_001
 
 
 def test_near_copies_against_brute_force(spark, sf_dir):
