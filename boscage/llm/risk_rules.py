@@ -12,7 +12,8 @@ keep the lenient end, which rejects nothing.
 Defined cases: null text counts as empty; a text without words fails the base rules and has no
 measures; null lang is a stratum of its own, so is every other value; a doc_id labelled twice is
 good if any label says so; null doc_ids take no part in the holdout; repeated rows are judged
-alike and count once each; without labels only the base rules hold.
+alike; copies of a text are one draw of the holdout in each stratum, since they are not independent;
+without labels only the base rules hold.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 
 MEASURED = T.StructType([T.StructField(n, t) for n, t in [
-    ("doc_id", T.LongType()), ("stratum", T.StringType()), ("n_words", T.LongType()), ("word_chars", T.LongType()),
+    ("doc_id", T.LongType()), ("stratum", T.StringType()), ("text_hash", T.LongType()), ("n_words", T.LongType()), ("word_chars", T.LongType()),
     ("n_symbols", T.LongType()), ("n_dup_lines", T.LongType()), ("n_lines", T.LongType()), ("n_repeat_words", T.LongType())]])
 
 
@@ -83,10 +84,10 @@ def measure(docs: DataFrame) -> DataFrame:
         for b in batches:
             got = [measure_text(t) for t in b["text"]]
             cols = list(zip(*got, strict=True)) if got else [()] * 6
-            yield {"doc_id": b["doc_id"], "stratum": b["stratum"]} | {n: list(c) for n, c in zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"), cols, strict=True)}
+            yield {n: b[n] for n in ("doc_id", "stratum", "text_hash")} | {n: list(c) for n, c in zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words"), cols, strict=True)}
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("stratum"), "text")
-    return map_batches(src, ["doc_id", "stratum", "text"], run, MEASURED)
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("stratum"), F.xxhash64("text").alias("text_hash"), "text")
+    return map_batches(src, ["doc_id", "stratum", "text_hash", "text"], run, MEASURED)
 
 
 def ratios() -> dict[str, F.Column]:
@@ -127,7 +128,7 @@ def choose(rejected: list[int], n: int, grid: list[float], alpha: float, delta:
 def thresholds(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """One row per stratum with good texts: its size and the cutoff of each measure, or null."""
     good = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    held = measured.filter(~base_failed()).join(good, "doc_id", "left_semi")
+    held = measured.filter(~base_failed()).join(good, "doc_id", "left_semi").dropDuplicates(["stratum", "text_hash"])
     counts = [F.count_if(r > g).alias(f"{name}_{i}") for name, r in ratios().items() for i, g in enumerate(GRID[name])]
     sums = held.groupBy("stratum").agg(F.count("*").alias("n_good"), *counts)
     strata = max(1, sums.count())

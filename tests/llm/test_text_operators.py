@@ -75,7 +75,8 @@ def test_rules_query_against_brute_force(spark, sf_dir):
     failed = {i: v[0] < 10 or 100 * v[5] > 20 * v[0] for i, v in m.items()}
     lang = dict(zip(d.doc_id, d.lang))
     ratio = {i: {"dup_lines": v[3] / v[4] if v[4] else 0.0, "symbols": v[2] / v[1] if v[1] else 0.0, "repeats": v[5] / v[0] if v[0] else 0.0, "word_length": abs(v[1] / v[0] - 5) if v[0] else 0.0} for i, v in m.items()}
-    good = [i for i in lab[lab.quality == 1].doc_id if not failed[i]]
+    text = dict(zip(d.doc_id, d.text))
+    good = list({(lang[i], text[i]): i for i in lab[lab.quality == 1].doc_id if not failed[i]}.values())
     strata = {lang[i] for i in good}
     cut = {}
     for s in strata:
