@@ -106,7 +106,7 @@ def bounded_sample(labelled: DataFrame, rows: int, seed: int) -> DataFrame:
 
 
 #: Words of 64 bits of the filter that tells which ids may be members, and bits set for each id.
-FILTER_WORDS = 1 << 20
+FILTER_WORDS = 1 << 18
 FILTER_BITS = 4
 
 

@@ -34,10 +34,11 @@ from pyspark.sql import types as T
 from .common import among, bounded_sample, fold, map_batches, members, mix, one_row, utf8, word_hashes, written
 
 BITS = 18
-#: Pseudo-count of the Dirichlet prior, standard deviations taken off, and the drift.
+#: Pseudo-count of the Dirichlet prior, standard deviations taken off, and the drift: chosen by
+#: cross-validation inside the training rows (tests/llm/tune_classifiers.py).
 PRIOR = 3000.0
-CAUTION = 2.0
-DRIFT = 0.5
+CAUTION = 1.0
+DRIFT = 1.0
 STEM = 4
 #: Rows that the extreme-value constants and the curve are fitted on, at most.
 CALIBRATION_ROWS = 6000
@@ -150,9 +151,9 @@ def karlin_lambda(scores: np.ndarray, weight: np.ndarray) -> float:
         return 1.0
     lo, hi = 0.0, 1.0
     value = lambda x: float(p @ np.exp(np.minimum(x * scores, 600.0)))
-    while value(hi) < 1 and hi < 64:
+    while value(hi) < 1 and hi < 1 << 20:
         hi *= 2
-    for _ in range(60):
+    for _ in range(100):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if value(mid) < 1 else (lo, mid)
     return max(lo, 1e-3)
