@@ -145,7 +145,10 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
 
 
 def karlin_lambda(scores: np.ndarray, weight: np.ndarray) -> float:
-    """The positive root of E[exp(lambda s)] = 1 under ``weight``."""
+    """The positive root of E[exp(lambda s)] = 1 under ``weight``; where nothing scores above zero,
+    every score counts a billionth of a token besides, so there is a root."""
+    if not ((scores > 0) & (weight > 0)).any():
+        weight = weight + 1e-9
     p = weight / weight.sum()
     if not ((scores > 0) & (p > 0)).any() or p @ scores >= 0:
         return 1.0
@@ -252,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 3, held: int = 1, row
     labelled = _usable(labels, parts, held)
     toxic, clean, pairs = count_tokens(docs, labelled)
     token = log_odds(toxic, clean)
-    lam = karlin_lambda(token.astype(np.float64), scoring(pairs, token) + 1e-9)
+    lam = karlin_lambda(token.astype(np.float64), scoring(pairs, token))
     shared = docs.sparkSession.sparkContext.broadcast(token)
 
     def fit(cols: dict[str, list]) -> bytes:

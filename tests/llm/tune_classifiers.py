@@ -72,7 +72,7 @@ def toxicity(folder):
             for i in np.flatnonzero((d.part != k) & (y == 0)):
                 p = places[i]
                 np.add.at(tokens, np.where(token[p[:, 0]] >= token[p[:, 1]], p[:, 0], p[:, 1]), 1)
-            m = toxic_segments.Toxicity(token, toxic_segments.karlin_lambda(token.astype(float), tokens + 1e-9), 0.0, -20.0, 0.0)
+            m = toxic_segments.Toxicity(token, toxic_segments.karlin_lambda(token.astype(float), tokens), 0.0, -20.0, 0.0)
             fit = np.flatnonzero(d.part != k)[: toxic_segments.CALIBRATION_ROWS]
             toxic_segments.calibrate(m, [places[i] for i in fit], y[fit].astype(float))
             for i in np.flatnonzero(d.part == k):
