@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
@@ -39,9 +40,30 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+#: Folders, one in another, that new scratch paths lie in.
+_passing: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/boscage/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below one folder of this application."""
+    return "/".join([shared_root(spark), "boscage", spark.sparkContext.applicationId, *_passing, f"{label}-{uuid.uuid4().hex}"])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def passing(spark: SparkSession, label: str) -> Iterator[None]:
+    """Deletes at its end what was stored within; results must have been written elsewhere by then."""
+    path = scratch(spark, label)
+    _passing.append(path.rsplit("/", 1)[1])
+    try:
+        yield
+    finally:
+        _passing.pop()
+        delete(spark, path)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
