@@ -81,12 +81,13 @@ def section_to_world(points: DataFrame, geometry: str, target: float = 1.3) -> D
     return points.withColumn("wx", cx + F.col("u") * ey * F.col("dz") + F.col("v") * ex).withColumn("wy", cy - F.col("u") * ex * F.col("dz") + F.col("v") * ey)
 
 
-def remove_isolated(points: DataFrame, keys: list[str], radius: float, least: int) -> DataFrame:
+def remove_isolated(points: DataFrame, keys: list[str], radius: float, least: int, ident: str | None = None) -> DataFrame:
     """Points with more than ``least`` points, themselves included, within ``radius``.
 
-    Cells as wide as the radius; a point looks into its own and the eight around it.
+    Cells as wide as the radius; a point looks into its own and the eight around it. ``ident`` names
+    a point within its keys; without one, rows are numbered, which needs an input in a fixed order.
     """
-    own = points.withColumn("_n", F.monotonically_increasing_id()).withColumn("_i", F.floor(F.col("u") / radius)).withColumn("_j", F.floor(F.col("v") / radius))
+    own = points.withColumn("_n", F.col(ident) if ident else F.monotonically_increasing_id()).withColumn("_i", F.floor(F.col("u") / radius)).withColumn("_j", F.floor(F.col("v") / radius))
     offs = F.explode(F.sequence(F.lit(-1), F.lit(1)))
     ask = own.select(*keys, "_n", F.col("u").alias("_u"), F.col("v").alias("_v"), "_i", "_j").withColumn("_a", offs).withColumn("_b", offs)
     ask = ask.select(*keys, "_n", "_u", "_v", (F.col("_i") + F.col("_a")).alias("_i"), (F.col("_j") + F.col("_b")).alias("_j"))

@@ -10,7 +10,7 @@ from boscage.operators import review
 from boscage.sources import las, tables
 
 TABLES = "region nation customer supplier part orders lineitem".split()
-QUICK = ["scan_inspect", "crop_many", "ground_cells", "section_horizontal", "circle_kasa", "circle_taubin", "coverage", "verdict", "benchmark_metrics", "review_resolve", "review_counts", "safe_ids"]
+QUICK = ["scan_inspect", "crop_many", "ground_cells", "section_horizontal", "circle_kasa", "circle_taubin", "coverage", "verdict", "benchmark_metrics", "review_resolve", "review_counts", "safe_ids", "comparator_select", "comparator_counts", "benchmark_splits", "geometry_summary", "candidates", "ground_verdict"]
 
 
 def rows(df: pd.DataFrame) -> list:
