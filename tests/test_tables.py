@@ -1,5 +1,7 @@
 """Sources, the entry module, and registered queries against their SQL."""
 
+import sys
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -28,6 +30,14 @@ def test_query_equals_sql(spark, name):
     assert rows(entry.queries()[name](spark, folder).toPandas()) == rows(con.execute(entry.oracle_sql()[name]).df())
 
 
+def test_entry_works_without_the_training_data_operators(monkeypatch):
+    for name in [m for m in sys.modules if m.startswith("boscage.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "boscage.llm", None)  # importing it now fails
+    got = entry.queries()
+    assert got.keys() == entry.QUERIES.keys() and entry.oracle_sql().keys() == entry.ORACLES.keys() == got.keys()
+
+
 def test_entry_measures_trees(spark):
     got = entry.entry(spark).toPandas()
     assert len(got) == 10 and len(got.columns) == 39
