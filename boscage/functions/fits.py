@@ -105,21 +105,23 @@ def geometric(xy: np.ndarray, start: tuple[float, float, float] | None = None) -
     start = start or taubin(xy) or kasa(xy)
     if start is None:
         return None
-    p, damp = np.array(start, float), 1e-3
-
-    def cost(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = xy - q[:2]
-        r = np.hypot(*d.T)
-        safe = np.maximum(r, 1e-12)
-        return r - q[2], np.column_stack([-d / safe[:, None], -np.ones(len(r))])
-
-    e, j = cost(p)
+    p, damp, (x, y) = np.array(start, float), 1e-6, np.ascontiguousarray(xy.T)
+
+    def cost(q: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Sum of squares, and the normal equations of a step, without a matrix of derivatives."""
+        u, v = x - q[0], y - q[1]
+        r = np.sqrt(u * u + v * v)
+        e, safe = r - q[2], np.maximum(r, 1e-12)
+        u, v = u / safe, v / safe
+        uv, su, sv = u @ v, u.sum(), v.sum()
+        return float(e @ e), np.array([[u @ u, uv, su], [uv, v @ v, sv], [su, sv, len(r)]]), np.array([u @ e, v @ e, e.sum()])
+
+    e, h, g = cost(p)
     for _ in range(60):
-        h, g = j.T @ j, j.T @ e
-        step = np.linalg.solve(h + damp * np.diag(np.diag(h) + 1e-12), -g)
-        e2, j2 = cost(p + step)
-        if e2 @ e2 <= e @ e:
-            p, e, j, damp = p + step, e2, j2, damp / 5
+        step = np.linalg.solve(h + damp * np.diag(np.diag(h) + 1e-12), g)
+        e2, h2, g2 = cost(p + step)
+        if e2 <= e:
+            p, e, h, g, damp = p + step, e2, h2, g2, damp / 5
             if np.abs(step).max() < 1e-12:
                 break
         else:
@@ -334,8 +336,9 @@ def fit_all(xy: np.ndarray, cfg, with_bootstrap: bool = False) -> list[dict]:
     bc = cfg.bootstrap
     if with_bootstrap and bc.enabled:
         d = lambda c: None if c is None else 2 * c[2]
+        oval = lambda p: 2 * float(np.sqrt(c[2] * c[3])) if (c := _conic(p)) else None
         few = max(60, rc.max_trials // 5)
-        ways = {"circle_taubin": lambda p: d(taubin(p)), "circle_geometric": lambda p: d(geometric(p)), "ellipse": lambda p: ellipse(p)["diameter_m"], "circle_ransac": lambda p: ransac(p, rc.residual_threshold_m, few, 0.0, rc.random_seed, refit="pratt")["diameter_m"]}
+        ways = {"circle_taubin": lambda p: d(taubin(p)), "circle_geometric": lambda p: d(geometric(p)), "ellipse": oval, "circle_ransac": lambda p: ransac(p, rc.residual_threshold_m, few, 0.0, rc.random_seed, refit="pratt")["diameter_m"]}
         for name, way in ways.items():
             if rows[name]["valid"]:
                 rows[name]["bootstrap_std_m"] = bootstrap(xy, way, bc.n_resamples, bc.random_seed, bc.sample_fraction)["std"]
