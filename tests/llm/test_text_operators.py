@@ -186,9 +186,9 @@ def test_ftrl_matches_a_plain_loop():
     rng = np.random.default_rng(5)
     rows = [(np.sort(rng.choice(16, 3, replace=False)), np.ones(3, np.float32)) for _ in range(40)]
     y = [int(5 in i) for i, _ in rows]
-    a = ngram_quality.Ftrl.fit(rows, y, bits=4, epochs=2)
-    z, n, w = [0.0] * 17, [0.0] * 17, [0.0] * 17
     alpha, beta, l1, l2 = 1.0, 1.0, 0.02, 0.05
+    a = ngram_quality.Ftrl.fit(rows, y, bits=4, epochs=2, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    z, n, w = [0.0] * 17, [0.0] * 17, [0.0] * 17
 
     def weight(i):
         return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
