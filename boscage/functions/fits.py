@@ -152,13 +152,15 @@ def ransac(xy: np.ndarray, threshold: float = 0.01, trials: int = 500, min_inlie
     hyp = circumcircles(xy[rng.integers(0, len(xy), (trials, 3))])
     hyp = hyp[np.isfinite(hyp).all(1) & (hyp[:, 2] > 0.01) & (hyp[:, 2] < 2.0)]
     best, most = None, -1
-    mid = score.mean(0)
-    own, far2 = score - mid, ((score - mid) ** 2).sum(1)[:, None]
+    # squared distances less the middle of a hypothesis's band, by one product
+    at = score.mean(0)
+    own = score - at
+    terms = np.column_stack([(own**2).sum(1), own, np.ones(len(own))])
     for k in range(0, len(hyp), 64):
         part = hyp[k : k + 64]
-        c = part[:, :2] - mid
-        d2 = far2 + ((c * c).sum(1) - 2 * own @ c.T)  # squared distances by one product
-        hits = ((d2 <= (part[:, 2] + threshold) ** 2) & (d2 >= np.maximum(part[:, 2] - threshold, 0.0) ** 2)).sum(0)
+        c, low, high = part[:, :2] - at, np.maximum(part[:, 2] - threshold, 0.0) ** 2, (part[:, 2] + threshold) ** 2
+        off = terms @ np.stack([np.ones(len(c)), -2 * c[:, 0], -2 * c[:, 1], (c * c).sum(1) - (low + high) / 2])
+        hits = np.count_nonzero(np.abs(off, out=off) <= (high - low) / 2, axis=0)
         if hits.max() > most:
             best, most = part[int(hits.argmax())], int(hits.max())
     if best is None:
