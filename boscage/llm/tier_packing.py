@@ -48,7 +48,7 @@ REST_IDS = 32
 STEP_IDS = 1 << 16
 #: Bytes that remembered words, and parts of words, take in each of two generations, at about
 #: ENTRY bytes each besides their own; longer words than LONG are not remembered.
-REMEMBERED = 48 << 20
+REMEMBERED = 40 << 20
 ENTRY = 200
 LONG = 256
 

@@ -46,7 +46,7 @@ CALIBRATION_ROWS = 6000
 E_MAX = 0.1
 E_FLOOR = 1e-12
 #: Clean tokens of a task that are counted at once.
-FLUSH = 1 << 21
+FLUSH = 1 << 20
 #: What stands for a label in rows of counts by pair of places.
 _PAIRS = 2
 
