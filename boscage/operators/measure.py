@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,29 +37,61 @@ def height_range(cfg: RunConfig, roi: float) -> tuple[float, float]:
     return (min(low, a.lower_height_m), max(high, a.upper_height_m)) if a.enabled else (low, high)
 
 
-def fit_trees(points: DataFrame, targets: DataFrame, cfg: RunConfig | None = None, roi: float = 1.0) -> DataFrame:
-    """Long table of fits (FITS) of every target with points.
+#: The columns of FITS that a tree has, whatever its sections are.
+TREE = FITS[FITS.index("seed_x double") : FITS.index(", section_points")]
 
-    ``targets``: tree_id, cx, cy, ground_z. Points are sorted within a tree before any seeded
-    draw, so results don't depend on partitions. A tree's points are one group, about 150 bytes
-    each in its task: ten million of them (several thousand returns a square decimetre of bark) take
-    1.5 GB; denser scans should be decimated first. A radius over MAX_RADIUS_M is refused.
+
+def _by_tree(points: DataFrame, targets: DataFrame, cfg: RunConfig, roi: float, one, schema: str) -> DataFrame:
+    """``one`` of every target's points (x, y, z by row, sorted), heights, ground height, seed and axis.
+
+    Trees are dealt to several times more partitions than cores, which would otherwise wait for the
+    core that got most of them.
     """
-    cfg = cfg or RunConfig()
     if not 0 < roi <= MAX_RADIUS_M:
         raise ValueError(f"the search radius must be positive and at most {MAX_RADIUS_M} m, not {roi}")
     near = crop_many(points.select("x", "y", "z"), targets, roi).filter((F.col("z") - F.col("ground_z")).between(*height_range(cfg, roi)))
-    names = [c.split()[0] for c in FITS.split(", ")]
+    near = near.select("tree_id", "x", "y", "z", "cx", "cy", "ground_z")
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x", "y", "z"])
         xyz, gz = pdf[["x", "y", "z"]].to_numpy(float), float(pdf["ground_z"].iloc[0])
-        hag, s = xyz[:, 2] - gz, cfg.slice
+        xyz = xyz[np.lexsort(xyz.T[::-1])]
+        hag = xyz[:, 2] - gz
         seed = stem.seed_centre(xyz, hag, cfg, (float(pdf["cx"].iloc[0]), float(pdf["cy"].iloc[0])), roi)
         axis = stem.stem_axis(xyz, hag, cfg, (seed["x"], seed["y"]), seed["radius"], gz) if cfg.axis.enabled else None
         if axis is None or not axis["valid"]:
             why = (axis or {"warnings": []})["warnings"]
             axis = {"x": seed["x"], "y": seed["y"], "dx": 0.0, "dy": 0.0, "dz": 1.0, "tilt_deg": 0.0, "azimuth_deg": 0.0, "valid": False, "warnings": [*why, "vertical_axis_assumed"]}
+        extra = {"seed_x": seed["x"], "seed_y": seed["y"], "tilt_deg": axis["tilt_deg"], "azimuth_deg": axis["azimuth_deg"], "axis_valid": axis["valid"], "tree_warnings": [*seed["warnings"], *axis["warnings"]]}
+        out = pd.DataFrame([{k: r.get(k) for k in names if k != "tree_id"} for r in one(xyz, hag, gz, seed, axis, extra)])
+        out.insert(0, "tree_id", str(pdf["tree_id"].iloc[0]))
+        for c in {"inlier_count", "n_arcs", "lobes"} & set(names):
+            out[c] = out[c].astype("Int32")
+        return out[names]
+
+    parts = 8 * points.sparkSession.sparkContext.defaultParallelism
+    return near.repartition(parts, "tree_id").groupBy("tree_id").applyInPandas(tree, schema)
+
+
+def fit_axes(points: DataFrame, targets: DataFrame, cfg: RunConfig | None = None, roi: float = 1.0) -> DataFrame:
+    """The seed and axis of every target with points (tree_id, TREE), as ``fit_trees`` has them."""
+    cfg = cfg or RunConfig()
+    return _by_tree(points, targets, cfg, roi, lambda xyz, hag, gz, seed, axis, extra: [extra], "tree_id string, " + TREE)
+
+
+def fit_trees(points: DataFrame, targets: DataFrame, cfg: RunConfig | None = None, roi: float = 1.0, with_bootstrap: bool = True) -> DataFrame:
+    """Long table of fits (FITS) of every target with points.
+
+    ``targets``: tree_id, cx, cy, ground_z. Points are sorted within a tree before any seeded
+    draw, so results don't depend on partitions. A tree's points are one group, about 150 bytes
+    each in its task: ten million of them (several thousand returns a square decimetre of bark) take
+    1.5 GB; denser scans should be decimated first. A radius over MAX_RADIUS_M is refused. Callers that
+    don't read ``bootstrap_std_m`` may leave it null.
+    """
+    cfg = cfg or RunConfig()
+    s = cfg.slice
+
+    def sections(xyz, hag, gz, seed, axis, tree) -> list[dict]:
         radius = max(0.10, min(roi, s.section_radius_factor * seed["radius"] + 0.03))
         shapes = ["horizontal", "stem_normal"] if s.geometry == "both" else [s.geometry]
         rows = []
@@ -70,18 +103,13 @@ def fit_trees(points: DataFrame, targets: DataFrame, cfg: RunConfig | None = Non
                 main = height == s.target_height_m
                 if len(xy) < s.min_points and not main:
                     continue
-                got = fits.fit_all(xy, cfg, main) if len(xy) >= 3 else [fits.fit_row("circle_algebraic", point_count=len(xy), warnings=["too_few_points"])]
+                got = fits.fit_all(xy, cfg, main and with_bootstrap) if len(xy) >= 3 else [fits.fit_row("circle_algebraic", point_count=len(xy), warnings=["too_few_points"])]
                 by = {g["model"]: g for g in got}
                 odd = stem.radial_anomaly(xy, by.get("circle_ransac"), by.get("outline_radial_median"), cfg) if main else {}
-                extra = {"geometry": geometry, "height_m": height, "seed_x": seed["x"], "seed_y": seed["y"], "tilt_deg": axis["tilt_deg"], "azimuth_deg": axis["azimuth_deg"], "axis_valid": axis["valid"], "tree_warnings": [*seed["warnings"], *axis["warnings"]], "section_points": len(xy)}
-                rows += [g | extra | odd for g in got]
-        out = pd.DataFrame([{k: r.get(k) for k in names if k != "tree_id"} for r in rows])
-        out.insert(0, "tree_id", str(pdf["tree_id"].iloc[0]))
-        for c in ("inlier_count", "n_arcs", "lobes"):
-            out[c] = out[c].astype("Int32")
-        return out[names]
+                rows += [g | tree | {"geometry": geometry, "height_m": height, "section_points": len(xy)} | odd for g in got]
+        return rows
 
-    return near.groupBy("tree_id").applyInPandas(tree, FITS)
+    return _by_tree(points, targets, cfg, roi, sections, FITS)
 
 
 #: The columns of FITS that one section's fits have.

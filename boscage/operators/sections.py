@@ -32,12 +32,14 @@ def crop_many(points: DataFrame, targets: DataFrame, radius: float) -> DataFrame
 
     Each target is spread over the grid cells that its disc touches, and points meet it by an
     equi-join on the cell, so the work doesn't grow with points times targets. Few targets are
-    broadcast (their number is checked).
+    broadcast (their number is checked). A point's columns pass through a generator, which keeps the
+    join's null checks from being pushed into the input, where each would spell out (and compute again)
+    all that a coordinate is made from, in methods too large to be compiled.
     """
     side = F.sequence(F.floor((F.col("cx") - radius) / radius), F.floor((F.col("cx") + radius) / radius))
     cells = targets.select("*", F.explode(side).alias("_i"))
     cells = cells.withColumn("_j", F.explode(F.sequence(F.floor((F.col("cy") - radius) / radius), F.floor((F.col("cy") + radius) / radius))))
-    own = points.withColumn("_i", F.floor(F.col("x") / radius)).withColumn("_j", F.floor(F.col("y") / radius))
+    own = points.select(F.inline(F.array(F.struct(*points.columns)))).withColumn("_i", F.floor(F.col("x") / radius)).withColumn("_j", F.floor(F.col("y") / radius))
     if targets.limit(BROADCAST_TARGETS + 1).count() <= BROADCAST_TARGETS:
         cells = F.broadcast(cells)
     near = (F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2 <= radius**2

@@ -669,8 +669,12 @@ def _truth(spark, sf):
     return scene.targets(spark, sf).select("tree_id", "t", "kind", "true_radius_m", F.col("cx").alias("at_x"), F.col("cy").alias("at_y"))
 
 
-def _fits(spark, sf):
-    return me.fit_trees(scene.stems(spark, sf), scene.targets(spark, sf).select("tree_id", "cx", "cy", "ground_z"), RunConfig())
+def _stems(spark, sf):
+    return scene.stems(spark, sf), scene.targets(spark, sf).select("tree_id", "cx", "cy", "ground_z"), RunConfig()
+
+
+def _fits(spark, sf, with_bootstrap=True):
+    return me.fit_trees(*_stems(spark, sf), with_bootstrap=with_bootstrap)
 
 
 def _near_truth(c: F.Column) -> F.Column:
@@ -711,7 +715,7 @@ def model_boundaries(spark, sf):
     whether a circle's vertices lie on it."""
     from ..session import checkpointed
 
-    found = checkpointed(_fits(spark, sf))
+    found = checkpointed(_fits(spark, sf, False))
     keys = ["tree_id", "geometry", "height_m", "model"]
     v = pl.boundaries(found).join(found.select(*keys, "cx", "cy", "diameter_m"), keys)
     r, a = F.hypot(F.col("u") - F.col("cx"), F.col("v") - F.col("cy")), F.atan2(F.col("v") - F.col("cy"), F.col("u") - F.col("cx"))
