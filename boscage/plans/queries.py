@@ -689,7 +689,7 @@ KEYS = ", keys AS (SELECT format('S{:02d}', t) AS tree_id, t, kind, geometry, he
 def fit_models(spark, sf):
     """Every fit of every section: is its diameter the stem's, is it valid. (An arc's ellipse and the
     robust circle of a fluted stem have no truth; an outline's validity goes by the points.)"""
-    f = _fits(spark, sf).join(_truth(spark, sf), "tree_id")
+    f = _fits(spark, sf, False).join(_truth(spark, sf), "tree_id")
     open_ = ((F.col("kind") == 2) & (F.col("model") == "ellipse")) | ((F.col("kind") == 3) & F.col("model").isin("circle_ransac", "outline_radial_median_inliers"))
     return f.select("tree_id", "geometry", "height_m", "model", F.when(~open_, _near_truth(F.col("diameter_m"))).alias("near_truth"), F.when(~F.col("model").startswith("outline"), F.col("valid")).alias("valid"))
 

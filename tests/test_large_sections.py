@@ -30,3 +30,11 @@ def test_crop_computes_a_coordinate_once(spark, sf_dir):
     with contextlib.redirect_stdout(out):
         sections.crop_many(points, scene.targets(spark, sf_dir).select("t", "cx", "cy"), 1.0).explain()
     assert 1 <= out.getvalue().count("COS(") <= 2
+
+
+def test_fits_without_deviations_are_the_same(spark, sf_dir):
+    """What fit_models and model_boundaries read doesn't depend on the resamples that they leave out."""
+    columns = ["tree_id", "geometry", "height_m", "model", "diameter_m", "cx", "cy", "point_count", "valid"]
+    whole, lean = (queries._fits(spark, sf_dir, b).select(*columns, "bootstrap_std_m").collect() for b in (True, False))
+    assert sorted(map(str, (r[:-1] for r in whole))) == sorted(map(str, (r[:-1] for r in lean)))
+    assert any(r[-1] is not None for r in whole) and all(r[-1] is None for r in lean)
