@@ -697,7 +697,7 @@ def fit_models(spark, sf):
 @query(" SELECT format('S{:02d}', t) AS tree_id, CASE WHEN kind = 1 THEN 12.0::DOUBLE ELSE 0 END AS tilt_deg, CASE WHEN kind = 1 THEN 50.0::DOUBLE END AS azimuth_deg, TRUE AS axis_valid, TRUE AS seed_near FROM target".replace(" SELECT", "SELECT", 1))
 def stem_axis(spark, sf):
     """Tilt and azimuth to whole degrees, and whether the seed lies within 2 cm of the stem's centre."""
-    a = _fits(spark, sf).groupBy("tree_id").agg(*[F.max(c).alias(c) for c in ("tilt_deg", "azimuth_deg", "seed_x", "seed_y")], F.bool_or("axis_valid").alias("axis_valid")).join(_truth(spark, sf), "tree_id")
+    a = me.fit_axes(*_stems(spark, sf)).join(_truth(spark, sf), "tree_id")
     return a.select("tree_id", (F.round("tilt_deg") + 0.0).alias("tilt_deg"), F.when(F.col("kind") == 1, F.round("azimuth_deg")).alias("azimuth_deg"), "axis_valid", (F.hypot(F.col("seed_x") - F.col("at_x"), F.col("seed_y") - F.col("at_y")) <= 0.02).alias("seed_near"))
 
 

@@ -38,3 +38,9 @@ def test_fits_without_deviations_are_the_same(spark, sf_dir):
     whole, lean = (queries._fits(spark, sf_dir, b).select(*columns, "bootstrap_std_m").collect() for b in (True, False))
     assert sorted(map(str, (r[:-1] for r in whole))) == sorted(map(str, (r[:-1] for r in lean)))
     assert any(r[-1] is not None for r in whole) and all(r[-1] is None for r in lean)
+
+
+def test_axes_are_those_of_the_fits(spark, sf_dir):
+    names = ["tree_id", *[c.split()[0] for c in measure.TREE.split(", ")]]
+    axes = measure.fit_axes(*queries._stems(spark, sf_dir)).select(*names).collect()
+    assert axes and sorted(map(str, axes)) == sorted(map(str, queries._fits(spark, sf_dir, False).select(*names).distinct().collect()))
