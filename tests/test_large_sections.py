@@ -4,7 +4,8 @@ import time
 
 import numpy as np
 
-from boscage.functions import stem
+from boscage.config import RunConfig
+from boscage.functions import fits, stem
 from boscage.operators import measure, sections
 from boscage.plans import queries, scene
 
@@ -44,3 +45,13 @@ def test_axes_are_those_of_the_fits(spark, sf_dir):
     names = ["tree_id", *[c.split()[0] for c in measure.TREE.split(", ")]]
     axes = measure.fit_axes(*queries._stems(spark, sf_dir)).select(*names).collect()
     assert axes and sorted(map(str, axes)) == sorted(map(str, queries._fits(spark, sf_dir, False).select(*names).distinct().collect()))
+
+
+def test_deviations_of_a_large_section_are_its_own():
+    """Over 20,000 points a diameter deviates by 2 sigma / sqrt(n); resamples of some of them deviate by more."""
+    rng, n = np.random.default_rng(8), 20_000
+    turn, r = rng.uniform(0, 2 * np.pi, n), 0.2 + rng.normal(0, 0.002, n)
+    found = fits.fit_all(np.column_stack([r * np.cos(turn), r * np.sin(turn)]), RunConfig(), True)
+    got = {f["model"]: f["bootstrap_std_m"] * np.sqrt(n) / (2 * f["rmse_m"]) for f in found if f["bootstrap_std_m"] is not None}
+    assert got.keys() == {"circle_taubin", "circle_geometric", "circle_ransac", "ellipse"}
+    assert all(0.75 < g < 1.33 for g in got.values())
